@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, packing, sharding
+from . import fingerprints, media, mixing, packing, sharding, substrings
 from .common import written
 
 
@@ -19,6 +19,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law rows: counts of the 40 shards at most one apart, each with the mixture of the sources."""
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +50,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_substrings": op2_substrings,
     "op3_sharding": op3_sharding,
     "op6_media": op6_media,
     "op8_packing": op8_packing,
@@ -52,6 +58,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substrings": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, len(w) as n, w, unnest(range(0, len(w) - 19)) as pos from d where len(w) >= 20),
+k as (select doc_id, pos, md5(array_to_string(w[pos + 1 : pos + 20], ' ')) as h from p),
+r as (select doc_id, pos from k qualify row_number() over (partition by h order by doc_id, pos) > 1),
+c as (select distinct doc_id, pos + unnest(range(0, 20)) as i from r),
+g as (select doc_id, list(i order by i) as gone from c group by doc_id),
+e as (select d.doc_id, d.w, unnest(range(0, len(d.w))) as i from d),
+s as (select e.doc_id, string_agg(e.w[e.i + 1], ' ' order by e.i) as kept, count(*) as m from e left join c on c.doc_id = e.doc_id and c.i = e.i where c.i is null group by e.doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(s.m, 0) as bigint) as n_removed, sha256(coalesce(s.kept, '')) as kept_sha256
+from d left join s on s.doc_id = d.doc_id
+""",
     "op9_mixing": r"""
 with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
 s as (select source, cast(sum(size) as bigint) as n from d group by source),
