@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, packing, sharding, substrings
+from . import fingerprints, language, media, mixing, packing, sharding, substrings
 from .common import written
 
 
@@ -48,6 +48,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages: both have texts and a declared language; sources are the documents' hosts."""
+    docs = table(spark, sf_dir, "documents")
+    rows = language.document_rows(docs).unionByName(language.page_rows(table(spark, sf_dir, "pages")))
+    return language.identified(rows, docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_substrings": op2_substrings,
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media": op6_media,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
