@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, media, mixing, packing, sharding, substrings
+from . import fingerprints, language, media, mixing, packing, sharding, substrings, surrogates
 from .common import written
 
 
@@ -33,6 +33,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.probed(media.stored(table(spark, sf_dir, "documents")))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_substrings": op2_substrings,
     "op3_sharding": op3_sharding,
+    "op4_surrogates": op4_surrogates,
     "op6_media": op6_media,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
