@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, media, mixing, packing, sharding, substrings, surrogates
+from . import fingerprints, language, media, mixing, near, packing, sharding, substrings, surrogates
 from .common import written
 
 
@@ -41,6 +41,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.probed(media.stored(table(spark, sf_dir, "documents")))
 
 
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classified(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_surrogates": op4_surrogates,
     "op6_media": op6_media,
+    "op7_near": op7_near,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
