@@ -65,7 +65,7 @@ def mix(rows: DataFrame, n_rows: int, id_col: str = "doc_id", source: str = "sou
 
 def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The mix itself: every document once for each time it is taken whole, and the one at a source's cut once more
-    with its first words only (up to the end of the last word that is taken). Columns stay those of docs."""
+    with its first words only (up to the end of the last word that is taken); n_chars, where there is such a column, follows. Columns stay."""
     names = docs.columns
     sized = docs.withColumn("_size", words(F.col(text)))
     got = mix(sized, docs.count(), size="_size", **how)
@@ -76,4 +76,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     copies = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<int>")))
     got = got.withColumn("_copy", F.explode(copies))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), 1, F.greatest(F.col("_copy"), F.lit(1))), "")
-    return got.withColumn(text, F.when(F.col("_copy") > 0, head).otherwise(F.col(text))).select(*names)
+    got = got.withColumn(text, F.when(F.col("_copy") > 0, head).otherwise(F.col(text)))
+    if "n_chars" in names:
+        got = got.withColumn("n_chars", F.when(F.col("_copy") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return got.select(*names)

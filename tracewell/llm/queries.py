@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, media, mixing, near, packing, sharding, substrings, surrogates
+from . import fingerprints, language, lines, media, mixing, near, packing, sharding, substrings, surrogates
 from .common import written
 
 
@@ -37,6 +37,10 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judged(table(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.probed(media.stored(table(spark, sf_dir, "documents")))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op3_sharding": op3_sharding,
     "op4_surrogates": op4_surrogates,
+    "op5_lines": op5_lines,
     "op6_media": op6_media,
     "op7_near": op7_near,
     "op8_packing": op8_packing,
