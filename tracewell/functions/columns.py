@@ -6,9 +6,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from . import text
 
+# Types as objects: the module is imported by workers, which have no session to parse names with.
+STRINGS = ArrayType(StringType())
+
 #: Words of three letters or more: the terms that SQL can express as well.
 ASCII_TERM = r"[a-z][a-z0-9_]{2,63}"
 #: Identifiers that need no look-around.
@@ -54,27 +58,27 @@ def coverage(available: Column, wanted: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(available, F.array_distinct(wanted))) / n).otherwise(F.lit(0.0))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalize(s: pd.Series) -> pd.Series:
     return s.map(text.normalize)
 
 
-@pandas_udf("array<string>")
+@pandas_udf(STRINGS)
 def terms(s: pd.Series) -> pd.Series:
     return s.map(text.routing_terms)
 
 
-@pandas_udf("struct<every:array<string>,decisive:array<string>,stable:array<string>>")
+@pandas_udf(StructType([StructField(n, STRINGS) for n in ("every", "decisive", "stable")]))
 def anchors(s: pd.Series) -> pd.DataFrame:
     found = [text.anchors(x or "") for x in s]
     return pd.DataFrame({"every": [f[0] for f in found], "decisive": [f[1] for f in found], "stable": [[a for a in f[1] if text.indexable(a)][:128] for f in found]})
 
 
-@pandas_udf("array<float>")
+@pandas_udf(ArrayType(FloatType()))
 def embed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: text.embed(x or "").astype("float32").tolist())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def opaque_masked(s: pd.Series) -> pd.Series:
     return s.map(text.opaque_masked)

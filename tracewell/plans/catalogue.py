@@ -450,3 +450,81 @@ def index_status(spark, sf):
     ex = turns.exchanges(lines_of(spark, sf))
     nodes = ex.select("session_id").distinct().select(F.lit("session").alias("level")).unionByName(ex.select(F.lit("exchange").alias("level")))
     return nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+# ---- whole plans ---------------------------------------------------------------------------------------------------
+
+
+def conversation_index(spark, sf):
+    from tracewell.plans import index
+
+    return index.build(lines_of(spark, sf))
+
+
+def last_questions(built):
+    """The last user line of every session asks for itself."""
+    ex = built.exchanges.groupBy("session_id").agg(F.max_by("user_message", "line_start").alias("query"))
+    return ex.select(F.col("session_id").alias("query_id"), "query", F.lit(None).cast("string").alias("current_session_id"))
+
+
+@query(None)
+def recall_full(spark, sf):
+    """Recall for the last user line of every conversation, over all conversations."""
+    from tracewell.plans import recall
+
+    built = conversation_index(spark, sf)
+    return recall.recall(built, last_questions(built))[0]
+
+
+@query(None)
+def evidence_plan(spark, sf):
+    """The greedy evidence sets of the same queries."""
+    from tracewell.plans import recall
+    from tracewell.sources.tables import settled
+
+    built = conversation_index(spark, sf)
+    found, flags = recall.hits(built, settled(recall.understood(last_questions(built)), "asked"))
+    return recall.evidence_plan(found, flags)
+
+
+@query(None)
+def recall_nodes(spark, sf):
+    """The index's nodes, without their texts and vectors."""
+    t = conversation_index(spark, sf).nodes
+    return t.select("node_id", "level", "session_id", "line_start", "line_end", "content_hash", F.size("terms").alias("terms"), F.size("facets").alias("facets"), "bands", "anchors")
+
+
+@query(None)
+def task_transitions(spark, sf):
+    """Every conversation's user lines as task turns."""
+    from tracewell.operators import ledger
+
+    lines = lines_of(spark, sf).filter("role = 'user'")
+    return ledger.transitions(lines.select("session_id", F.col("line").alias("turn"), F.col("text").alias("user_request"), F.lit("auto").alias("action")))
+
+
+@query(None)
+def experience_recall(spark, sf):
+    """Benchmark texts as experiences, first user lines of every hundredth conversation as queries."""
+    from tracewell.operators import ledger
+
+    none = F.lit("")
+    e = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("experience_key"), F.lit(1).alias("version"), F.left("text", F.lit(80)).alias("title"), none.alias("situation"), F.col("text").alias("guidance"), none.alias("outcome"), F.lit("2024-01-01").alias("updated_at"))
+    q = lines_of(spark, sf).filter("line = 1 and cast(session_id as bigint) % 100 = 0").select(F.col("session_id").alias("query_id"), F.col("text").alias("query"))
+    return ledger.recalled_experiences(ledger.current_experiences(e), q)
+
+
+@query(f"""with {LINES}, v as (select *, '[raw line ' || line || ' role=' || role || ' timestamp=' || lpad(cast(line as varchar), 10, '0') || ' raw_prefix_sha256=' || sha256(left(text, 4096)) || ']' || chr(10) || text || chr(10) as rendered from lines where text <> '' and role in ('user', 'assistant') qualify row_number() over (partition by archive_path, role, text order by line) = 1)
+select session_id, line, sha256(rendered) as rendered_sha256 from v where len(text) <= 6000""")
+def evidence_media_view(spark, sf):
+    """The media view of all conversations, lines that are not cut."""
+    t = evidence.rendered(lines_of(spark, sf), "media").filter(F.length("text") <= evidence.MEDIA_CHARS)
+    return t.select("session_id", "line", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+@query("""with l as (select source as session_id, sum(n_chars) as size, count(*) as mtime, sum(n_chars) > 100000 as probe from documents group by source), c as (select session_id, case when mtime % 2 = 0 then size else size - 1 end as size, mtime, size % 3 = 0 as long from l)
+select l.session_id, case when c.long then true when l.size = c.size and l.mtime = c.mtime then false else l.probe end as long from l left join c using (session_id)""")
+def status_cache(spark, sf):
+    t = table(spark, sf, "documents").groupBy(F.col("source").alias("session_id")).agg(F.sum("n_chars").alias("size"), F.count(F.lit(1)).alias("mtime"), (F.sum("n_chars") > 100000).alias("probe"))
+    cached = t.select("session_id", F.when(F.col("mtime") % 2 == 0, F.col("size")).otherwise(F.col("size") - 1).alias("size"), "mtime", (F.col("size") % 3 == 0).alias("long"))
+    return lifecycle.status(t, cached).select("session_id", "long")
