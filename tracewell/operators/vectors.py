@@ -16,24 +16,28 @@ BLOCK_NUMBERS = 4 << 20
 LEAST = 0.04
 
 
+def blocks(queries: DataFrame, vectors: str) -> Iterator[list[tuple]]:
+    """The queries' (query_id, vectors) in blocks of BLOCK_NUMBERS numbers or so."""
+    rows, size = [], 0
+    for r in queries.select("query_id", vectors).toLocalIterator():
+        rows.append((r[0], r[1]))
+        size += sum(len(v) if isinstance(v, list) else 1 for v in r[1])
+        if size >= BLOCK_NUMBERS:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def dense_top(nodes: DataFrame, queries: DataFrame, k: int, least: float = LEAST, key: str = "node_id", order: str = "timestamp") -> DataFrame:
     """(query_id, key, similarity, rank): the k nodes with the largest scalar product, ties by the latest `order`.
 
     Queries (query_id, vector) go to the nodes in blocks of a fixed size; each batch of nodes keeps its own best k, so
     only candidates move. The cut at `least` comes after the k, as a rank is a rank among all."""
-    blocks, rows, size = [], [], 0
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        rows.append((r["query_id"], r["vector"]))
-        size += len(r["vector"])
-        if size >= BLOCK_NUMBERS:
-            blocks.append(rows)
-            rows, size = [], 0
-    if rows:
-        blocks.append(rows)
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, {key} {nodes.schema[key].dataType.simpleString()}, {order} string, similarity double"
     best = None
-    for rows in blocks:
+    for rows in blocks(queries, "vector"):
         shared = nodes.sparkSession.sparkContext.broadcast((np.array([v for _, v in rows], np.float64), [q for q, _ in rows]))
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -68,3 +72,27 @@ def maxsim(pairs: DataFrame) -> DataFrame:
     similarity, 0 at least."""
     best = pairs.groupBy("query_id", "key", "facet").agg(F.greatest(F.lit(0.0), F.max("similarity")).alias("best"))
     return best.groupBy("query_id", "key").agg(F.avg("best").alias("similarity"))
+
+
+def late_interaction(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, node_id, similarity) for pairs (query_id, node_id): MaxSim of the queries' facets and the nodes'.
+
+    Facets of queries go to the nodes in blocks of a fixed size; a node's vectors move once a block, beside the ids of
+    the block's queries that ask for it."""
+    out = None
+    for rows in blocks(queries, "facets"):
+        shared = nodes.sparkSession.sparkContext.broadcast({q: np.array(f, np.float64) for q, f in rows})
+        own = nodes.sparkSession.createDataFrame([(q,) for q, _ in rows], "query_id string")
+        asked = pairs.join(own, "query_id", "left_semi").groupBy("node_id").agg(F.collect_list("query_id").alias("asking"))
+
+        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for node, asking, facets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held = np.array(facets, np.float64).T
+                    found += [(q, node, float(np.maximum(0.0, (a @ held).max(1)).mean()) if len(a := shared.value[q]) else 0.0) for q in asking]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["query_id", "node_id", "similarity"])
+
+        part = map_arrow(asked.join(nodes, "node_id").select("node_id", "asking", "facets"), step, "query_id string, node_id string, similarity double")
+        out = part if out is None else out.unionByName(part)
+    return nodes.sparkSession.createDataFrame([], "query_id string, node_id string, similarity double") if out is None else out

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -62,17 +61,6 @@ def joined(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _late(pairs: DataFrame) -> DataFrame:
-    """(query_id, node_id, similarity) from (query_id, node_id, asked, held): MaxSim of two sets of vectors."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = [float(np.maximum(0.0, (np.array(a) @ np.array(b, np.float64).T).max(1)).mean()) if a and b else 0.0 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["query_id", "node_id", "similarity"])
-
-    return map_arrow(pairs.select("query_id", "node_id", "asked", "held"), step, "query_id string, node_id string, similarity double")
-
-
 def scored(index: Index, asked: DataFrame, limit: int = 8, mode: str = "auto") -> tuple[DataFrame, DataFrame]:
     """(routes, flags): all route contributions; for each query what was bypassed and whether its ordinal is ambiguous."""
     if mode not in ("fast", "auto", "deep"):
@@ -166,8 +154,7 @@ def scored(index: Index, asked: DataFrame, limit: int = 8, mode: str = "auto") -
     banded = lexical.top(banded, ["query_id"], [F.desc("matches"), F.desc("timestamp"), "node_id"], max(96, limit * 16))
     leading = lexical.top(ranking.fused(so_far), ["query_id"], [F.desc("score"), "node_id"], LATE).join(asking.select("query_id"), "query_id", "left_semi")
     pairs = leading.select("query_id", "node_id").union(banded.select("query_id", "node_id")).distinct()
-    pairs = pairs.join(asking.select("query_id", F.col("facets").alias("asked")), "query_id").join(nodes.select("node_id", F.col("facets").alias("held")), "node_id")
-    late = _late(pairs).filter(F.col("similarity") >= LATE_LEAST)
+    late = settled(vectors.late_interaction(pairs, asking, nodes.select("node_id", "facets")), "late").filter(F.col("similarity") >= LATE_LEAST)
     late = late.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "node_id")))
     so_far = settled(so_far.unionByName(route(late, "late-interaction", ranking.reciprocal(F.col("rank"), WEIGHT["late"]) + 0.07 * F.col("similarity"), F.col("similarity"))), "routes")
 
