@@ -63,20 +63,22 @@ def mix(rows: DataFrame, n_rows: int, id_col: str = "doc_id", source: str = "sou
     return both.withColumns({"source_size": F.col("_source_size"), "target": F.col("_target"), "taken": (F.col("_epochs") * F.col(size) + cut).cast("long")}).drop("_key", "_before", "_source", "_source_size", "_target", "_epochs", "_rest")
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """The mix itself: every document once for each time it is taken whole, and the one at a source's cut once more
     with its first words only (up to the end of the last word that is taken); n_chars, where there is such a column, follows. Columns stay."""
-    names = docs.columns
-    sized = docs.withColumn("_size", words(F.col(text)))
-    got = mix(sized, docs.count(), size="_size", **how)
-    whole = F.when(F.col("_size") > 0, F.floor(F.col("taken") / F.col("_size"))).otherwise(0).cast("int")
-    part = F.when(F.col("_size") > 0, F.col("taken") % F.col("_size")).otherwise(0).cast("int")
+    # The row travels whole in one column, so that no name of its columns can clash.
+    sized = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
+    got = mix(sized, docs.count(), **how)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
     got = got.withColumns({"_whole": whole, "_part": part})
     # The copies of a row: 0 for each whole one, else the words of the cut one.
     copies = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<int>")))
     got = got.withColumn("_copy", F.explode(copies))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), 1, F.greatest(F.col("_copy"), F.lit(1))), "")
-    got = got.withColumn(text, F.when(F.col("_copy") > 0, head).otherwise(F.col(text)))
-    if "n_chars" in names:
-        got = got.withColumn("n_chars", F.when(F.col("_copy") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return got.select(*names)
+    old = F.col("_row")[text]
+    head = F.array_join(F.slice(F.regexp_extract_all(old, F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), 1, F.greatest(F.col("_copy"), F.lit(1))), "")
+    got = got.withColumn("_text", F.when(F.col("_copy") > 0, head).otherwise(old))
+    row = F.col("_row").withField(text, F.col("_text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("_copy") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"]))
+    return got.select(row.alias("_row")).select("_row.*")
