@@ -24,7 +24,6 @@ LATE_LEAST, PHRASES, CURRENT_BONUS = 0.05, 96, 0.025
 PLAN_HITS, PLAN_SIZE = 16, 4
 
 UNDERSTOOD = "query_id string, query string, current_session_id string, norm string, terms array<string>, anchors array<string>, decisive array<string>, stable array<string>, phrases array<string>, concepts array<array<string>>, direction string, ordinal int, vector array<double>, facets array<array<double>>, bands array<string>"
-EMPTY = F.array().cast("array<string>")
 
 
 def understood(queries: DataFrame) -> DataFrame:
@@ -76,7 +75,7 @@ def scored(index: Index, asked: DataFrame, limit: int = 8, mode: str = "auto") -
     exact = settled(exact.withColumn("coverage", coverage(F.col("terms"), F.col("own"), F.col("concepts"))).drop("terms", "own", "concepts"), "exact")
     known = wanted.join(index.anchors.select("anchor").distinct(), "anchor", "left_semi").groupBy("query_id").agg(F.collect_set("anchor").alias("known"))
     flags = asked.join(exact.select("query_id").distinct().withColumn("met", F.lit(True)), "query_id", "left").join(known, "query_id", "left")
-    missing = F.size(F.array_except("stable", F.coalesce("known", EMPTY))) > 0
+    missing = F.size(F.array_except("stable", F.coalesce("known", F.array().cast("array<string>")))) > 0
     flags = flags.withColumn("absent", missing & (F.size("stable") == F.size("decisive")))
     flags = flags.withColumn("direct", F.coalesce("met", F.lit(False)) & (F.size("decisive") > 0) & F.col("ordinal").isNull())
     flags = settled(flags.withColumn("searched", ~F.col("direct") & ~F.col("absent")).drop("met", "known"), "flags")
