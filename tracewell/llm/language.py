@@ -68,9 +68,14 @@ class Model:
 def fitted(rows: DataFrame, text: str, label: str, id_col: str, seed: str = "lang-1") -> Model:
     """The text model, from the bounded sample."""
     some = rows.select(F.lower(F.trim(label)).alias("label"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), hash_key(F.col(id_col), seed).alias("key")).filter("label <> '' and text is not null")
-    names = [r["label"] for r in some.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()]
+    counts = {r["label"]: r["count"] for r in some.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()}
+    names = list(counts)
+    # The least keys of a language lie below a bound that four times as many rows are expected to pass, so a common
+    # language moves no more rows than a rare one.
+    bounds = [x for n in names for x in (F.lit(n), F.lit(f"{min(int(4 * SAMPLE_ROWS / counts[n] * 16**8), 16**8):09x}"))]
+    near = some.filter(F.col("label").isin(names) & (F.concat(F.lit("0"), F.substring("key", 1, 8)) < F.element_at(F.create_map(*bounds), F.col("label")))) if names else some.limit(0)
     order = Window.partitionBy("label").orderBy("key", "text")
-    sample = some.filter(F.col("label").isin(names)).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_ROWS).select("label", "text").collect()
+    sample = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_ROWS).select("label", "text").collect()
     counts = np.full((1 << BITS, len(names)), TRIPLE)
     for k, name in enumerate(sorted(names)):
         code, _ = triples([r["text"] for r in sample if r["label"] == name])
@@ -181,10 +186,13 @@ def identified(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their columns as they are."""
     model = fitted(docs, "text", "lang", "doc_id")
-    seen = docs.withColumns({"_text": F.col("text"), "_declared": F.lower(F.trim("lang")), "_suffix": F.lit(None).cast("string"), "_source": F.col("source"), "_domain": F.lit(None).cast("string")})
-    # A row's evidence is written without its text, under its id and a hash of what it is judged by.
+    # A row's evidence is written without its text, under its id and a hash of what it is judged by. The row itself
+    # travels whole in one column, so that no name of its columns can clash.
     mark = F.xxhash64("text", "lang", "source")
-    slim = written(text_evidence(seen.withColumn("_mark", mark), model, "_text", ["doc_id", "_mark", "_declared", "_suffix", "_source", "_domain"]), "languages")
-    gone = fused(slim.withColumnsRenamed({"_declared": "declared", "_suffix": "suffix", "_source": "host", "_domain": "domain"}), model, "declared", "suffix", "host", "domain").filter(~F.col("kept"))
-    gone = gone.select(F.col("doc_id").alias("_id"), "_mark").distinct()
-    return docs.withColumn("_own", mark).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_anti").drop("_own")
+    none = F.lit(None).cast("string")
+    seen = docs.select(F.col("doc_id").alias("doc_id"), mark.alias("mark"), F.lower(F.trim("lang")).alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"), F.col("text").alias("text"))
+    slim = written(text_evidence(seen, model, "text", ["doc_id", "mark", "declared", "suffix", "host", "domain"]), "languages")
+    gone = fused(slim, model, "declared", "suffix", "host", "domain").filter(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own"), mark.alias("_hash"))
+    return rows.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left_anti").select("_row.*")
