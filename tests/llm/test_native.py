@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -164,6 +165,15 @@ def test_a_hot_line_and_hot_near_lines_stay_linear(spark):
     assert sum(r["n_removed"] for r in got) >= 199 + 195
 
 
+def test_near_lines_in_a_hot_group_meet(spark):
+    """300 lines agree in two blocks; those that agree in a third one meet, wherever they stand in the order."""
+    r = random.Random(5)
+    rows = [(i, 50, [7, 9] + [1000 * j + i % 150 for j in range(6)]) for i in range(300)]
+    r.shuffle(rows)
+    got = {(x["a"], x["b"]) for x in lines.candidates(spark.createDataFrame(rows, "k long, size int, blocks array<long>")).collect()}
+    assert {(i, i + 150) for i in range(150)} <= got and len(got) < 2000
+
+
 def test_lines_of_awkward_and_empty_tables(spark):
     df = cases.awkward(spark)
     out = lines.without_fuzzy_lines(df)
