@@ -356,6 +356,15 @@ def interval_overlap(spark, sf):
     return intervals.overlapping(left, right, "user_id", 6 * 3600).select("user_id", "left_event", "right_event")
 
 
+@query(None)
+def interval_overlap_all(spark, sf):
+    """All pairs of spans of the same user that meet, the lower event left."""
+    s = spans(spark, sf)
+    left = s.select("user_id", F.col("event_id").alias("left_event"), F.col("a").alias("a_start"), F.col("b").alias("a_end"))
+    right = s.select("user_id", F.col("event_id").alias("right_event"), F.col("a").alias("b_start"), F.col("b").alias("b_end"))
+    return intervals.overlapping(left, right, "user_id", 6 * 3600).filter("left_event < right_event").select("user_id", "left_event", "right_event")
+
+
 @query(f"""with {SPANS}, m as (select *, max(b) over (partition by user_id order by a, b rows between unbounded preceding and 1 preceding) as reach from s),
 i as (select *, sum(case when a <= reach + 1 then 0 else 1 end) over (partition by user_id order by a, b rows unbounded preceding) as island from m) select user_id, min(a) as "start", max(b) as "end", count(*) as ranges from i group by user_id, island""")
 def interval_merge(spark, sf):
