@@ -281,19 +281,29 @@ def maxsim(spark, sf):
     return vectors.maxsim(pairs).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""with t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_]{{2,63}}')) as term from documents), c as (select doc_id, term, 1 + ln(count(*)::double) as w, md5('term:' || term) as h from t group by doc_id, term),
-b as (select doc_id, cast(('0x' || left(h, 8))::bigint % 384 as integer) as bucket, sum(case when ('0x' || substring(h, 9, 1))::bigint % 2 = 1 then w else -w end) as x from c group by all), n as (select doc_id, sqrt(sum(x * x)) as norm from b group by doc_id)
-select b.doc_id, bucket, round(x / norm, 5) as value from b join n using (doc_id) where norm > 0 and abs(x / norm) >= 0.1""")
-def hashed_embedding_md5(spark, sf):
-    """The large components of the hashed vectors, in the variant whose hash SQL has."""
+def hashed_components(spark, sf):
+    """(doc_id, bucket, value) of the hashed vectors, in the variant whose hash SQL has."""
     t = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(columns.ASCII_TERM), F.lit(0))).alias("term"))
     t = t.groupBy("doc_id", "term").agg((1 + F.ln(F.count(F.lit(1)))).alias("w")).withColumn("h", F.md5(F.concat(F.lit("term:"), "term")))
     bucket = F.pmod(F.conv(F.left("h", F.lit(8)), 16, 10).cast("long"), F.lit(384)).cast("int")
     sign = F.conv(F.substring("h", 9, 1), 16, 10).cast("long") % 2
     t = t.groupBy("doc_id", bucket.alias("bucket")).agg(F.sum(F.when(sign == 1, F.col("w")).otherwise(-F.col("w"))).alias("x"))
     norm = t.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    t = t.join(norm, "doc_id").filter("norm > 0 and abs(x / norm) >= 0.1")
-    return t.select("doc_id", "bucket", F.round(F.col("x") / F.col("norm"), 5).alias("value"))
+    return t.join(norm, "doc_id").filter("norm > 0").select("doc_id", "bucket", (F.col("x") / F.col("norm")).alias("value"))
+
+
+@query(f"""with t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_]{{2,63}}')) as term from documents), c as (select doc_id, term, 1 + ln(count(*)::double) as w, md5('term:' || term) as h from t group by doc_id, term),
+b as (select doc_id, cast(('0x' || left(h, 8))::bigint % 384 as integer) as bucket, sum(case when ('0x' || substring(h, 9, 1))::bigint % 2 = 1 then w else -w end) as x from c group by all), n as (select doc_id, sqrt(sum(x * x)) as norm from b group by doc_id)
+select b.doc_id, bucket, round(x / norm, 5) as value from b join n using (doc_id) where norm > 0 and abs(x / norm) >= 0.1""")
+def hashed_embedding_md5(spark, sf):
+    """The large components of the hashed vectors, in the variant whose hash SQL has."""
+    return hashed_components(spark, sf).filter("abs(value) >= 0.1").withColumn("value", F.round("value", 5))
+
+
+@query(None)
+def hashed_embedding_md5_all(spark, sf):
+    """All components of the same vectors but those that are zero up to rounding."""
+    return hashed_components(spark, sf).filter("abs(value) > 1e-9").withColumn("value", F.round("value", 5))
 
 
 # ---- ranking -------------------------------------------------------------------------------------------------------
