@@ -165,6 +165,21 @@ def test_a_hot_line_and_hot_near_lines_stay_linear(spark):
     assert sum(r["n_removed"] for r in got) >= 199 + 195
 
 
+def typos(line, seed, words=3):
+    r = random.Random(seed)
+    parts = line.split(" ")
+    for i in r.sample(range(len(parts)), words):
+        at = r.randrange(len(parts[i]))
+        parts[i] = parts[i][:at] + r.choice("qwxz") + parts[i][at + 1 :]
+    return " ".join(parts)
+
+
+def test_lines_with_scattered_typos_are_found(spark):
+    line = [cases.prose(2000 + i, 12) for i in range(300)]
+    got = lines.judged(cases.docs(spark, line + [typos(x, i) for i, x in enumerate(line)])).collect()
+    assert sum(r["n_removed"] for r in got if r["doc_id"] >= 300) >= 200
+
+
 def test_near_lines_in_a_hot_group_meet(spark):
     """300 lines agree in two blocks; those that agree in a third one meet, wherever they stand in the order."""
     r = random.Random(5)
