@@ -190,6 +190,16 @@ def test_many_near_copies_are_one_class(spark):
     assert all(r["kept"] for r in got if r["doc_id"] >= 150)
 
 
+def test_near_copies_among_texts_that_share_a_passage(spark):
+    """Unrelated texts with one long passage fill the groups; copies of some of them are found all the same."""
+    passage = cases.prose(77, 120)
+    own = [cases.prose(3000 + i, 80) for i in range(500)]
+    texts = [f"{x} {passage}" for x in own] + [f"{cases.edited(x, 0.3, i)} {passage}" for i, x in enumerate(own[:60])]
+    got = {r["doc_id"]: r["class_id"] for r in near.classified(cases.docs(spark, texts)).collect()}
+    assert sum(got[500 + i] == i for i in range(60)) >= 57
+    assert all(got[i] == i for i in range(500))
+
+
 def test_near_copies_in_awkward_and_empty_tables(spark):
     df = cases.awkward(spark)
     assert near.classified(df).count() == df.count()
