@@ -10,55 +10,49 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components, merged
 
-#: Nodes of a group that are all compared, nodes that a round compares with a larger group, and how many other keys that
-#: large groups share each of a node's such keys goes with.
-WHOLE, HUBS, BESIDE = 64, 32, 8
+#: Nodes of a group that are all compared at first, and after groups have been split; nodes that a round compares with a
+#: larger group; and how many other keys of large groups each such key of a node goes with.
+FEW, WHOLE, HUBS, BESIDE = 3, 64, 32, 8
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def linked(keyed: DataFrame, verify: Verify, split: bool = True, fits: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(keyed: DataFrame, verify: Verify) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) and components (node, component) of the linked nodes, from rows (key, node). verify gets pairs (a, b),
     a below b, each once, and returns those that are links.
 
-    Every node of a group meets the group's least and the one before it. Then only groups of several components go on:
-    in those of up to WHOLE + 1 all nodes of different components meet. Larger ones are split by a second key that is
-    large as well (pairs with a small key in common have met). What is large even then is settled in rounds: the HUBS
-    nodes of the smallest components meet all of other components and leave, until one component is left."""
+    Every node of a group meets the group's least; in groups of up to FEW all nodes meet. Larger groups whose nodes are
+    in several components go on, split by a second key that is such a one as well (pairs with a small group in common
+    have met): there, in groups of up to WHOLE nodes, all of different components meet, and larger ones are settled in
+    rounds: the HUBS nodes of the smallest components meet all of other components and leave, until one component is
+    left."""
     order = Window.partitionBy("key").orderBy("node")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    members = keyed.select("key", "node", F.count(F.lit(1)).over(whole).alias("n"), F.first("node").over(order).alias("hub"), F.lag("node").over(order).alias("beside"))
+    count = F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    members = keyed.select("key", "node", count.alias("n"), F.first("node").over(order).alias("hub"), F.lag("node").over(order).alias("beside"))
     members = written(members.filter("n > 1"), "members")
-    met = members.select(F.explode(F.array("hub", "beside")).alias("a"), F.col("node").alias("b")).filter("a < b")
-    tried = written(met.distinct(), "pairs")
+    met = members.select(F.explode(F.when(F.col("n") <= FEW, F.array("hub", "beside")).otherwise(F.array("hub"))).alias("a"), F.col("node").alias("b"))
+    tried = written(met.filter("a < b").distinct(), "pairs")
     found = written(verify(tried), "links")
     component = written(components(found), "components")
 
-    some = several(members.filter("n > 3").select("key", "node", "n"), component)
-    some = written(some, "labels")
-    before = F.collect_list(F.struct("node", "component")).over(Window.partitionBy("key").orderBy("node").rowsBetween(-WHOLE, -1))
-    small = some.filter(F.col("n") <= WHOLE + 1).select("node", "component", before.alias("before"))
-    small = small.select("node", F.explode(F.filter("before", lambda o: o["component"] != F.col("component"))).alias("o"))
-    fresh = small.select(F.col("o.node").alias("a"), F.col("node").alias("b")).distinct()
+    large = several(members.filter(F.col("n") > FEW).select("key", "node"), component)
+    # Of the keys of a node, in order, each with the BESIDE after it.
+    own = large.groupBy("node", "component").agg(F.sort_array(F.collect_set("key")).alias("keys")).filter("size(keys) > 1")
+    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BESIDE), lambda y: F.xxhash64(x, y))))
+    twice = own.select("node", "component", F.explode(both).alias("key"))
+    group = Window.partitionBy("key")
+    several_left = F.min("component").over(group) < F.max("component").over(group)
+    before = F.collect_list(F.struct("node", "component")).over(group.orderBy("node").rowsBetween(-WHOLE, -1))
+    twice = twice.select("key", "node", "component", F.count(F.lit(1)).over(group).alias("n"), several_left.alias("more"), before.alias("before")).filter("more")
+    others = F.when(F.col("n") <= WHOLE + 1, F.transform(F.filter("before", lambda o: o["component"] != F.col("component")), lambda o: o["node"]))
+    twice = written(twice.select("key", "node", others.alias("others")).filter("others is null or size(others) > 0"), "twice")
+    fresh = twice.select(F.explode("others").alias("a"), F.col("node").alias("b")).distinct()
     found, component, tried = more_links(fresh, verify, found, component, tried)
-
-    large = several(some.filter(F.col("n") > WHOLE + 1).select("key", "node", "n"), component)
-    large = written(large.select("key", "node"), "large")
-    if large.isEmpty():
-        return found, component
-    if split:
-        own = large.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-        # Of the keys of a node, in order, each with the BESIDE after it.
-        both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BESIDE), lambda y: F.xxhash64(x, y))))
-        more, joined = linked(own.select("node", F.explode(both).alias("key")), verify, split=False)
-        if more.isEmpty():
-            return found, component
-        return found.union(more.select(*found.columns)).distinct(), merged(component, more)
-    return rounds(large, verify, found, component, tried)
+    return rounds(twice.filter("others is null").select("key", "node"), verify, found, component, tried)
 
 
 def several(members: DataFrame, component: DataFrame) -> DataFrame:
-    """The members (key, node, ...) of groups with nodes of several components, with their components."""
+    """The members (key, node) of groups with nodes of several components, with their components."""
     group = Window.partitionBy("key")
     label = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return label.withColumn("_several", F.min("component").over(group) < F.max("component").over(group)).filter("_several").drop("_several")
