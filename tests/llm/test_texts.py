@@ -230,14 +230,52 @@ def test_components(spark):
 # ---- packing
 
 
-def test_the_encoder_gives_the_public_tokenizers_ids():
+def public():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    other.encode_special_tokens = True
-    for text in ("", "Hello  world\n\n it's 12345!?", "été 日本語 <|endoftext|> \t x", cases.prose(1, 200), " \n "):
-        assert packing.encoder().encode_ordinary(text) == other.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_the_encoder_gives_the_public_tokenizers_ids():
+    texts = ["", "Hello  world\n\n it's 12345!?", "été 日本語 <|endoftext|> \t x", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "<|endoftext|><|endoftext|>x", cases.prose(1, 200), " \n "]
+    texts += [f"a{chr(c)} {chr(c)}{chr(c)}1{chr(c)} '{chr(c)}s  {chr(c)}\n" for c in [*range(1, 0x3100), *range(0x1F300, 0x1F600)]]
+    other = public()
+    assert [packing.encoder()(t) for t in texts] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_the_ids_of_all_documents_are_the_public_ones():
+    import duckdb
+
+    other = public()
+    texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    assert [packing.encoder()(t) for t in texts] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("capacity", [(2048, 5, 2048**2), (2048, 2048, 700_000), (1500, 4, 900_000)])
+def test_documents_and_attention_bind_as_well(capacity):
+    r = random.Random(capacity[1])
+    counts = {n: r.randint(1, 40) for n in sorted(r.sample(range(1, 700), 60))}
+    for by in ("dot", "norm"):
+        held = {}
+        for length, first, behind, uses, sequence, offset in packing.plan(counts, capacity, by=by):
+            for k in range(behind - first):
+                held.setdefault(sequence + k // uses, []).append((offset + k % uses * length, length))
+        for parts in held.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity[0] and len(parts) <= capacity[1] and sum(n * n for _, n in parts) <= capacity[2]
+        found = {}
+        for parts in held.values():
+            for _, length in parts:
+                found[length] = found.get(length, 0) + 1
+        assert found == counts
+        # No fewer than any one limit asks for, and within a quarter of that.
+        least = max(sum(n * c for n, c in counts.items()) / capacity[0], sum(counts.values()) / capacity[1], sum(n * n * c for n, c in counts.items()) / capacity[2])
+        assert least <= len(held) <= 1.25 * least + 1
+        assert any(len(p) == capacity[1] or sum(n * n for _, n in p) > 0.9 * capacity[2] for p in held.values())
 
 
 def placed(rows, capacity):
@@ -259,7 +297,7 @@ def test_packed_documents(spark):
     held = placed(rows, (2048, 2048, 2048**2))
     total = 0
     for i, t in enumerate(texts):
-        ids = np.array([*packing.encoder().encode_ordinary(t or ""), 0], "<u4")
+        ids = np.array([*packing.encoder()(t or ""), 0], "<u4")
         own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
         assert [r["piece"] for r in own] == list(range(len(own))) and sum(r["length"] for r in own) == len(ids)
         assert len(own) == max(1, -(-len(ids) // 2048)) and all(r["length"] == 2048 for r in own[1:])
@@ -323,6 +361,11 @@ def test_other_headers_and_tables():
     frame[62:66] = b"\0\5\0\6"
     table = media._table(bytes(frame), media.header(int.from_bytes(frame[:4], "big")))
     assert table == {"kind": "VBRI", "frames": 9, "bytes": 1000, "toc": [5, 6], "each": 3}
+    # Frames too short for the table, and lists that the frame cuts off.
+    for n in range(30, 70):
+        cut = media._table(bytes(frame[:n]), media.header(int.from_bytes(frame[:4], "big")))
+        assert cut == {} if n < 62 else cut["toc"] == [5, 6][: (n - 62) // 2]
+    assert media.probe(b"\xff\xf3\x14\xc4" + bytes(32) + b"VBRI" + bytes(8)).frames <= 1
 
 
 def test_media_columns(spark):

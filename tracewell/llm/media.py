@@ -151,7 +151,7 @@ def _table(frame: bytes, h: Header) -> dict[str, object]:
     """The variable-bitrate table that a first frame may hold."""
     at = 4 + h.side + 2 * h.protected
     for start in (at, 4 + h.side):
-        if (name := frame[start : start + 4]) in (b"Xing", b"Info"):
+        if (name := frame[start : start + 4]) in (b"Xing", b"Info") and len(frame) >= start + 8:
             flags, at, out = int.from_bytes(frame[start + 4 : start + 8], "big"), start + 8, {"kind": name.decode()}
             for bit, what in ((1, "frames"), (2, "bytes")):
                 if flags & bit:
@@ -159,9 +159,10 @@ def _table(frame: bytes, h: Header) -> dict[str, object]:
             if flags & 4:
                 out["toc"] = frame[at : at + 100]
             return out
-    if frame[36:40] == b"VBRI":
+    # A frame that ends before the table's fixed part has none; a list that a frame cuts off keeps its whole entries.
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
         n_bytes, frames, entries, scale, width, each = struct.unpack(">IIHHHH", frame[46:62])
-        toc = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(entries)]
+        toc = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(min(entries, (len(frame) - 62) // width if width else 0))]
         return {"kind": "VBRI", "frames": frames, "bytes": n_bytes, "toc": toc, "each": each}
     return {}
 
