@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import common, lines, mixing, sharding
+from tracewell.llm import common, groups, lines, mixing, sharding
 
 from . import cases
 
@@ -180,13 +180,74 @@ def test_lines_with_scattered_typos_are_found(spark):
     assert sum(r["n_removed"] for r in got if r["doc_id"] >= 300) >= 200
 
 
-def test_near_lines_in_a_hot_group_meet(spark):
-    """300 lines agree in two blocks; those that agree in a third one meet, wherever they stand in the order."""
-    r = random.Random(5)
-    rows = [(i, 50, [7, 9] + [1000 * j + i % 150 for j in range(6)]) for i in range(300)]
-    r.shuffle(rows)
-    got = {(x["a"], x["b"]) for x in lines.candidates(spark.createDataFrame(rows, "k long, size int, blocks array<long>")).collect()}
-    assert {(i, i + 150) for i in range(150)} <= got and len(got) < 2000
+def test_a_group_of_unrelated_and_like_nodes_is_settled(spark):
+    """Two keys that 400 nodes share, and links between i and i + 200 only: found wherever the nodes stand."""
+    order = list(range(400))
+    random.Random(5).shuffle(order)
+    rows = [(key, order[i]) for i in range(400) for key in (1, 2)]
+    like = {tuple(sorted((order[i], order[i + 200]))) for i in range(200)}
+    table = spark.createDataFrame([(a, b) for a, b in like], "a long, b long")
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.join(table, ["a", "b"], "left_semi")
+
+    found, component = groups.linked(spark.createDataFrame(rows, "key long, node long"), verify)
+    assert {(x["a"], x["b"]) for x in found.collect()} == like
+    assert {x["node"]: x["component"] for x in component.collect()} == {n: a for a, b in like for n in (a, b)}
+    assert sum(asked) <= 400 * 399 // 2
+
+
+def test_lines_are_verified_as_brute_force_does(spark):
+    """Insertions, deletions, changes and moves of words, unrelated lines, and lines without blanks."""
+    r = random.Random(8)
+    every = []
+    for i in range(150):
+        words = cases.prose(3000 + i, r.randint(4, 60)).split(" ")
+        other = list(words)
+        for _ in range(r.randint(1, max(1, len(words) // 4))):
+            at = r.randrange(len(other))
+            edit = r.choice(["drop", "add", "change", "typo", "move"])
+            if edit == "drop" and len(other) > 1:
+                other.pop(at)
+            elif edit == "add":
+                other.insert(at, cases.prose(r.randint(1, 999), 1))
+            elif edit == "change":
+                other[at] = cases.prose(r.randint(1, 999), 1)
+            elif edit == "typo":
+                other[at] = other[at][:-1] + "q"
+            else:
+                other.insert(r.randrange(len(other)), other.pop(at))
+        every += [" ".join(words), " ".join(other)]
+    every += ["x" * 300, "x" * 280 + "y" * 20, "日本語のテキスト" * 20, "日本語のテキスト" * 19 + "違う文章です"]
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(every)], "k long, norm string")
+    pairs = [(i, i + 1) for i in range(0, len(every), 2)] + [(i, i + 2) for i in range(0, 100, 2)]
+    got = {(x["a"], x["b"]) for x in lines.verified(spark.createDataFrame(pairs, "a long, b long"), table).collect()}
+    want = {(a, b) for a, b in pairs if distance(every[a], every[b]) <= 0.2 * max(len(every[a]), len(every[b])) + 1e-9}
+    assert got == want and len(want) > 60
+
+
+def test_columns_with_clashing_names_stay(spark):
+    names = ["_key", "_rank", "_n", "_source", "_bucket", "_slice", "_value", "_row", "key", "rank", "n", "at", "bucket", "place", "before", "_rest", "_epochs", "SHARD", "taken"]
+    df = cases.awkward(spark).withColumn("text_crc32", F.lit(1)).withColumn("size", F.lit(3))
+    for i, name in enumerate(names):
+        df = df.withColumn(name, F.lit(i))
+    n = df.count()
+    for out, new in ((sharding.interleaved(df, n), ["shard", "slot"]), (mixing.mix(df, n), ["source_size", "target", "taken"])):
+        assert out.columns[-len(new) :] == new and out.count() == n
+        for i, name in enumerate(names):
+            if name.lower() not in new:
+                assert {x[0] for x in out.select(name).distinct().collect()} == {i}
+
+
+def test_many_sources_of_one_row_are_spread(spark):
+    rows = [(i, f"host{i}", 1, 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text_crc32 long, size long")
+    out = sharding.interleaved(df, 4000).collect()
+    counts = collections.Counter(x["shard"] for x in out)
+    assert set(counts.values()) == {100}
+    assert all(sorted(x["slot"] for x in out if x["shard"] == s) == list(range(100)) for s in range(40))
 
 
 def test_lines_of_awkward_and_empty_tables(spark):

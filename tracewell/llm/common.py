@@ -69,3 +69,14 @@ def running_before(df: DataFrame, group: list[str], key: str, ties: list[str], v
     within = Window.partitionBy(*group, "_slice").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("_value").over(within), F.lit(0)).cast("long"))
     return rows.join(sums, same, "left").withColumn(out, F.col("_base") + F.col("_in")).drop("_slice", "_value", "_in", "_s", "_base", *[f"_g{i}" for i in range(len(group))])
+
+
+def carrying(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of df whole, in one column _row, with other columns beside: no name in df can clash with theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[v.alias(k) for k, v in columns.items()])
+
+
+def restored(df: DataFrame, names: list[str], *new: str) -> DataFrame:
+    """What carrying() took, with the columns `new` of df behind; these replace columns of the same name."""
+    taken = {n.lower() for n in new}
+    return df.select(*[F.col("_row").getField(n).alias(n) for n in names if n.lower() not in taken], *new)

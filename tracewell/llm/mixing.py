@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_key, running_before, slice_digits
+from .common import WORD, carrying, hash_key, restored, running_before, slice_digits
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -55,12 +55,13 @@ def budgets(sizes: DataFrame, source: str, size: str, weights: Sequence[float] =
 
 def mix(rows: DataFrame, n_rows: int, id_col: str = "doc_id", source: str = "source", size: str = "size", seed: str = SEED, **fill) -> DataFrame:
     """rows with source_size, target and taken: the words of each row that the mix takes, repeats counted."""
-    table = budgets(rows.groupBy(source).agg(F.sum(size).cast("long").alias("_n")), source, "_n", **fill)
-    keyed = rows.withColumn("_key", hash_key(F.col(id_col), seed))
-    placed = running_before(keyed, [source], "_key", [size], F.col(size), "_before", slice_digits(n_rows))
-    cut = F.greatest(F.lit(0), F.least(F.col(size), F.col("_rest") - F.col("_before")))
-    both = placed.join(table, F.col(source).eqNullSafe(F.col("_source")), "left")
-    return both.withColumns({"source_size": F.col("_source_size"), "target": F.col("_target"), "taken": (F.col("_epochs") * F.col(size) + cut).cast("long")}).drop("_key", "_before", "_source", "_source_size", "_target", "_epochs", "_rest")
+    slim = carrying(rows, source=F.col(source), size=F.col(size).cast("long"), key=hash_key(F.col(id_col), seed))
+    table = budgets(slim.groupBy("source").agg(F.sum("size").cast("long").alias("_n")), "source", "_n", **fill)
+    placed = running_before(slim, ["source"], "key", ["size"], F.col("size"), "before", slice_digits(n_rows))
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("before")))
+    both = placed.join(table, F.col("source").eqNullSafe(F.col("_source")), "left")
+    both = both.select("_row", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_epochs") * F.col("size") + cut).cast("long").alias("taken"))
+    return restored(both, rows.columns, "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **how) -> DataFrame:
