@@ -387,15 +387,15 @@ PRIVATE = "Mail jo.42@mail7.example.com or Ann.Lee@firm.org, call +1 (017) 555-7
 
 def test_surrogates_keep_type_and_format():
     s = surrogates.Surrogates("k")
-    new, kinds = surrogates.replaced(PRIVATE, s, {})
-    assert kinds == [e[2] for e in surrogates.found(new)] and len(kinds) == 8
+    new, kinds = surrogates.replaced(PRIVATE, s)
+    assert kinds == [e[2] for e in surrogates.found(new)] and len(kinds) == 9
     old = {e[3] for e in surrogates.found(PRIVATE)}
     assert not old & {e[3] for e in surrogates.found(new)}
     card = re.sub(" ", "", re.search(r"\d{4} \d{4} \d{4} \d{4}", new)[0])
     assert surrogates.luhn(card[:-1]) == int(card[-1]) and card[0] == "4"
-    assert surrogates.replaced(PRIVATE, s, {})[0] == new != surrogates.replaced(PRIVATE, surrogates.Surrogates("other"), {})[0]
+    assert surrogates.replaced(PRIVATE, s)[0] == new != surrogates.replaced(PRIVATE, surrogates.Surrogates("other"))[0]
     plain = "On 2024-05-06 at 12:30 we saw 1234567 of v1.2.3 in room 42-17."
-    assert surrogates.replaced(plain, s, {}) == (plain, [])
+    assert surrogates.replaced(plain, s) == (plain, [])
 
 
 @settings(max_examples=20, deadline=None)
@@ -408,7 +408,7 @@ def test_permutations_are_bijections(size, what):
 def test_coreference_and_distinctness_across_documents(spark):
     people = [f"u{i}@x.example.com" for i in range(40)] + [f"a{i % 10}@example.org" for i in range(20)]
     texts = [f"write to {people[i % 60]} and to {people[(i * 7) % 60]} now" for i in range(200)]
-    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymised(cases.docs(spark, texts).select("doc_id", "text")).collect()}
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymised(cases.docs(spark, texts).select("doc_id", "text"), "k").collect()}
     names = {}
     for i, t in enumerate(texts):
         for a, b in zip(surrogates.EMAIL.findall(t), surrogates.EMAIL.findall(got[i]), strict=True):
@@ -421,17 +421,88 @@ def test_collisions_are_solved(spark, monkeypatch, limit):
     """Mailbox names of one letter leave little room: replacements would meet real entities and each other."""
     monkeypatch.setattr(surrogates, "BROADCAST_ROWS", limit)
     texts = [f"ask {c}@example.com" for c in "abcdefghijklmnop"] + [None]
-    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymised(cases.docs(spark, texts)).collect()}
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymised(cases.docs(spark, texts), "k").collect()}
     new = [surrogates.EMAIL.search(got[i])[0] for i in range(16)]
     assert len(set(new)) == 16 and not set(new) & {surrogates.EMAIL.search(t)[0] for t in texts if t}
     assert got[16] is None
 
 
+def surrogate_texts(spark, texts, key="k"):
+    rows = surrogates.pseudonymised(cases.docs(spark, texts), key).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_one_person_stays_one_person(spark):
+    """Across titles, without one, and across documents; gender comes from the titles of the whole table."""
+    texts = ["Dr. Jane Doe called.", "Mrs. Jane Doe and Mrs. Doe; later Jane Doe, then DOE and Doe.", "Mr. Sam Poe met Dr. Jane Poe", "Prof. Doe"]
+    one, two, three, four = surrogate_texts(spark, texts)
+    given, family = re.fullmatch(r"Dr\. (\w+) (\w+) called\.", one).groups()
+    assert two == f"Mrs. {given} {family} and Mrs. {family}; later {given} {family}, then DOE and {family}."
+    assert four == f"Prof. {family}" and re.fullmatch(rf"Mr\. \w+ (\w+) met Dr\. {given} \1", three)
+    assert given in surrogates.FIRST["latin", "f"] and family != "Doe"
+
+
+@pytest.mark.parametrize("name", ["田中", "Иванов", "Παπάς", "שלום", "محمد", "김민수", "ひろし", "タナカ", "शर्मा", "Արամ", "Smith-Jones", "O'Neil"])
+def test_names_keep_their_script(name):
+    s = surrogates.Surrogates("k")
+    new, kinds = surrogates.replaced(f"Mr. {name}, again Mr. {name}", s)
+    a, b = re.fullmatch(r"Mr\. (.+), again Mr\. (.+)", new).groups()
+    assert a == b != name and kinds == ["family", "family"] and surrogates.script(a) == surrogates.script(name)
+
+
+def test_names_without_titles_and_no_names():
+    s = surrogates.Surrogates("k")
+    for text in ("my name is Bob Ray", "Ich heiße Uwe Kern", "then Emma Brown came"):
+        names = [text[a:b] for a, b, _, _ in surrogates.found(text)]
+        assert len(names) == 2 and not any(n in surrogates.replaced(text, s)[0] for n in names)
+    for text in ("Mr. x went", "Mr. été", "the Street", "emma brown", "Sr thing"):
+        assert surrogates.found(text) == []
+
+
+def test_a_full_format_ends_in_marks(spark):
+    """All addresses of a private block, which map into themselves: attempts end."""
+    texts = [f"from 192.168.{i >> 8}.{i & 255} now" for i in range(1 << 16)]
+    found = spark.createDataFrame([(" ".join(texts),)], "text string")
+    table = surrogates.written(surrogates.entities(found, "k"), "entities")
+    out = surrogates.exceptions(table, "k").collect()
+    assert len(out) == 1 << 16 and {r["attempt"] for r in out} == {surrogates.ATTEMPTS}
+    s = surrogates.Surrogates("k")
+    assert re.fullmatch(r"\[address [0-9a-f]{32}\]", s.of("address", "192.168.0.1", surrogates.ATTEMPTS))
+
+
+def test_nothing_is_written_in_clear(spark):
+    df = cases.docs(spark, ["Mrs. Ann Lee, ann.lee@firm.org"])
+    rows = surrogates.entities(df, "k").collect()
+    s = surrogates.Surrogates("k")
+    assert {s.deciphered(r["mark"], r["entity"]) for r in rows} == {"ann", "lee", "ann.lee@firm.org"}
+    assert not any(b"lee" in bytes(r["entity"]) or b"ann" in bytes(r["entity"]) for r in rows)
+    with pytest.raises(ValueError):
+        surrogates.Surrogates("")
+
+
+def test_surrogates_against_an_independent_pass(spark):
+    """Whole output: what an own, plainer detector finds goes, and all else stays as it was."""
+    r = random.Random(4)
+    plain = [cases.prose(500 + i, 20) for i in range(60)]
+    secret = [r.choice([f"u{i}@mail.example.com", f"+44 20 7946 {1000 + i}", f"8.8.{i}.7", f"Mrs. Vera Q{chr(97 + i % 26)}{i // 26 * 'x'}z"]) for i in range(60)]
+    got = surrogate_texts(spark, [f"{a} {s} {a}" for a, s in zip(plain, secret, strict=True)])
+    news = []
+    for a, s, new in zip(plain, secret, got, strict=True):
+        assert new.startswith(f"{a} ") and new.endswith(f" {a}")
+        middle = new[len(a) + 1 : -len(a) - 1]
+        assert middle != s and re.sub(r"[0-9]", "0", middle) == re.sub(r"[0-9]", "0", s) if s[0] in "+" else middle != s
+        news.append(middle)
+    assert len(set(news)) == len(set(secret)) and not set(news) & set(secret)
+
+
 def test_surrogates_in_awkward_and_empty_tables(spark):
     df = cases.awkward(spark)
-    out = surrogates.pseudonymised(df)
+    out = surrogates.pseudonymised(df, "k")
     assert out.columns == [*df.columns, "n_entities", "kinds"] and out.count() == df.count()
-    assert surrogates.pseudonymised(cases.empty(spark)).count() == 0
+    assert surrogates.pseudonymised(cases.empty(spark), "k").count() == 0
+    clash = df.withColumns({c: F.lit(1) for c in ("_id", "_own", "_attempts", "n_entities", "kinds", "c0", "others", "own")})
+    out = surrogates.pseudonymised(clash, "k")
+    assert len(out.columns) == len(set(out.columns)) and out.filter("_own = 1 and c0 = 1 and others = 1").count() == df.count()
 
 
 # ---- languages

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,9 @@ from . import fingerprints, language, lines, media, mixing, near, packing, shard
 from .common import written
 
 
+SURROGATE_KEY = "spark.tracewell.surrogates.key"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,7 +38,9 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """With the session's key, else with one that is drawn for this run and not kept."""
+    key = spark.conf.get(SURROGATE_KEY, None) or secrets.token_hex(32)
+    return surrogates.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
