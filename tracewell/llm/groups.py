@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -35,16 +35,24 @@ def linked(keyed: DataFrame, verify: Verify) -> tuple[DataFrame, DataFrame]:
     found = written(verify(tried), "links")
     component = written(components(found), "components")
 
-    large = several(members.filter(F.col("n") > FEW).select("key", "node"), component)
+    large = members.filter(F.col("n") > FEW).select("key", "node", F.lit(1).alias("size"))
+    return divided(large, verify, found, component, tried)
+
+
+def divided(large: DataFrame, verify: Verify, found: DataFrame, component: DataFrame, tried: DataFrame, fits: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links and components after the members (key, node, size) of large groups have met those of other components that
+    share a second large key; fits says of two sizes whether their nodes can be links at all."""
+    large = several(large, component)
     # Of the keys of a node, in order, each with the BESIDE after it.
-    own = large.groupBy("node", "component").agg(F.sort_array(F.collect_set("key")).alias("keys")).filter("size(keys) > 1")
+    own = large.groupBy("node", "component", "size").agg(F.sort_array(F.collect_set("key")).alias("keys")).filter("size(keys) > 1")
     both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BESIDE), lambda y: F.xxhash64(x, y))))
-    twice = own.select("node", "component", F.explode(both).alias("key"))
+    twice = own.select("node", "component", "size", F.explode(both).alias("key"))
     group = Window.partitionBy("key")
     several_left = F.min("component").over(group) < F.max("component").over(group)
-    before = F.collect_list(F.struct("node", "component")).over(group.orderBy("node").rowsBetween(-WHOLE, -1))
-    twice = twice.select("key", "node", "component", F.count(F.lit(1)).over(group).alias("n"), several_left.alias("more"), before.alias("before")).filter("more")
-    others = F.when(F.col("n") <= WHOLE + 1, F.transform(F.filter("before", lambda o: o["component"] != F.col("component")), lambda o: o["node"]))
+    before = F.collect_list(F.struct("node", "component", "size")).over(group.orderBy("node").rowsBetween(-WHOLE, -1))
+    twice = twice.select("key", "node", "component", "size", F.count(F.lit(1)).over(group).alias("n"), several_left.alias("more"), before.alias("before")).filter("more")
+    meets = lambda o: (o["component"] != F.col("component")) & (F.lit(True) if fits is None else fits(o["size"], F.col("size")))
+    others = F.when(F.col("n") <= WHOLE + 1, F.transform(F.filter("before", meets), lambda o: o["node"]))
     twice = written(twice.select("key", "node", others.alias("others")).filter("others is null or size(others) > 0"), "twice")
     fresh = twice.select(F.explode("others").alias("a"), F.col("node").alias("b")).distinct()
     found, component, tried = more_links(fresh, verify, found, component, tried)
@@ -52,7 +60,7 @@ def linked(keyed: DataFrame, verify: Verify) -> tuple[DataFrame, DataFrame]:
 
 
 def several(members: DataFrame, component: DataFrame) -> DataFrame:
-    """The members (key, node) of groups with nodes of several components, with their components."""
+    """The members (key, node, ...) of groups with nodes of several components, with their components."""
     group = Window.partitionBy("key")
     label = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return label.withColumn("_several", F.min("component").over(group) < F.max("component").over(group)).filter("_several").drop("_several")
