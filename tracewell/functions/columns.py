@@ -76,9 +76,15 @@ def anchors(s: pd.Series) -> pd.DataFrame:
 
 @pandas_udf(ArrayType(FloatType()))
 def embed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: text.embed(x or "").astype("float32").tolist())
+    return pd.Series(list(text.embedded([x or "" for x in s]).astype("float32")), s.index, dtype=object)
 
 
 @pandas_udf(StringType())
 def opaque_masked(s: pd.Series) -> pd.Series:
     return s.map(text.opaque_masked)
+
+
+@pandas_udf(STRINGS)
+def stable_anchors(s: pd.Series) -> pd.Series:
+    """Of the found values those that are stable identifiers, in normal form."""
+    return s.map(lambda found: [a for a in dict.fromkeys(text.normalize(x) for x in found) if text.indexable(a)])

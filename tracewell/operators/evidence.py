@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +75,43 @@ def integrity(now: DataFrame, indexed: DataFrame) -> DataFrame:
         .when(F.col("size") > F.col("_size"), "grew").otherwise("same")
     )
     return t.select("archive_path", state.alias("state"))
+
+
+#: Bytes of a file that are read at a time.
+PIECE = 1 << 16
+
+
+def raw_page(request: dict) -> dict:
+    """One page of raw lines, from the request's seek point on; see `plans.context.raw_pages`."""
+    out = {"request_id": request["request_id"], "error": request["error"]}
+    if request["error"]:
+        return out
+    try:
+        handle = open(request["archive_path"], "rb")
+    except OSError:
+        return out | {"error": "indexed archive is no longer available"}
+    with handle:
+        handle.seek(request["byte_offset"])
+        if hashlib.sha256(handle.read(request["prefix_length"])).hexdigest() != request["prefix_sha256"]:
+            return out | {"error": "archive content changed after indexing; synchronise the index"}
+        handle.seek(request["byte_offset"])
+        line, first, last = request["line_number"], request["line_start"], request["line_end"]
+        begin, end = request["offset_chars"], request["offset_chars"] + request["max_chars"]
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        kept, total = [], 0
+
+        def show(data: bytes, final: bool = False) -> None:
+            nonlocal total
+            text = decoder.decode(data, final)
+            if total < end and total + len(text) > begin:
+                kept.append(text[max(0, begin - total) : end - total])
+            total += len(text)
+
+        while line <= last and (piece := handle.readline(PIECE)):
+            if line >= first:
+                show(piece)
+            line += piece.endswith(b"\n")
+        show(b"", True)
+    text = "".join(kept)
+    complete = begin + len(text) >= total
+    return out | {"evidence_text": text, "total_chars": total, "returned_chars": len(text), "complete": complete, "next_offset_chars": None if complete else begin + len(text), "chunk_sha256": hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()}

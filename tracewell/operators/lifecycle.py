@@ -79,9 +79,17 @@ def budgets(rows: DataFrame, window: str, used: str) -> DataFrame:
     t = rows.withColumn("remaining", remaining).withColumn("remaining_ratio", F.col("remaining") / F.nullif(F.col(window), F.lit(0)))
     r = F.col("remaining_ratio")
     t = t.withColumn("profile", F.when(r <= MINIMAL_BELOW, "minimal").when(r <= COMPACT_BELOW, "compact").otherwise("standard"))
-    pick = lambda of: F.when(F.col("profile") == "minimal", of["minimal"]).when(F.col("profile") == "compact", of["compact"]).otherwise(of["standard"])
-    clamp = F.greatest(F.lit(1000), F.floor(F.col("remaining") * 0.08 * 3.0)).cast("int")
-    return t.withColumns({"max_chars": F.when(F.col("remaining") > 0, F.least(pick(PROFILE_CHARS), clamp)).otherwise(pick(PROFILE_CHARS)), "ranges": pick(PROFILE_RANGES)})
+    return sized(t)
+
+
+def sized(rows: DataFrame, clamped: bool = True) -> DataFrame:
+    """rows (profile, remaining) with max_chars and ranges; clamped to a share of what remains, if anything does."""
+    pick = lambda of: F.coalesce(*[F.when(F.col("profile") == name, F.lit(value)) for name, value in of.items()])
+    chars = pick(PROFILE_CHARS)
+    if clamped:
+        share = F.greatest(F.lit(1000), F.floor(F.col("remaining") * 0.08 * 3.0)).cast("int")
+        chars = F.when(F.col("remaining") > 0, F.least(chars, share)).otherwise(chars)
+    return rows.withColumns({"max_chars": chars, "ranges": pick(PROFILE_RANGES)})
 
 
 def versions(revisions: DataFrame, key: str, order: list) -> DataFrame:

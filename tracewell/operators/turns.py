@@ -120,3 +120,8 @@ def fork_remainder(child: DataFrame, parent: DataFrame, key: str, text: str) ->
     fresh = own.join(known, (F.col(key) == F.col("_k")) & (F.col("_mark") == F.col("_m")), "left").withColumn("_fresh", F.col("_m").isNull()).drop("_k", "_m")
     some = F.max(F.col("_fresh").cast("int")).over(Window.partitionBy(key))
     return fresh.withColumn("_some", some).filter(F.col("_fresh") | (F.col("_some") == 0)).drop("_mark", "_fresh", "_some")
+
+
+def asked(exchange: DataFrame) -> Column:
+    """A digest of what the user says in an exchange."""
+    return F.sha2(plain(F.col("user_message")), 256)

@@ -29,11 +29,21 @@ def blocks(queries: DataFrame, vectors: str) -> Iterator[list[tuple]]:
         yield rows
 
 
+def best_rows(score: np.ndarray, stamp: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best rows: by score, then the latest stamp, then key. Ties at the k-th place are looked at."""
+    use = np.arange(len(score))
+    if len(use) > k:
+        use = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    later = np.unique(stamp[use], return_inverse=True)[1]
+    return use[np.lexsort((key[use], -later, -score[use]))[:k]]
+
+
 def dense_top(nodes: DataFrame, queries: DataFrame, k: int, least: float = LEAST, key: str = "node_id", order: str = "timestamp") -> DataFrame:
-    """(query_id, key, similarity, rank): the k nodes with the largest scalar product, ties by the latest `order`.
+    """(query_id, key, similarity, rank): the k nodes with the largest scalar product, ties by the latest `order`, then
+    by key.
 
-    Queries (query_id, vector) go to the nodes in blocks of a fixed size; each batch of nodes keeps its own best k, so
-    only candidates move. The cut at `least` comes after the k, as a rank is a rank among all."""
+    Queries (query_id, vector) go to the nodes in blocks of a fixed size; each partition of nodes keeps its own best k of
+    each query, so only candidates move. The cut at `least` comes after the k, as a rank is a rank among all."""
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, {key} {nodes.schema[key].dataType.simpleString()}, {order} string, similarity double"
     best = None
@@ -42,17 +52,25 @@ def dense_top(nodes: DataFrame, queries: DataFrame, k: int, least: float = LEAST
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vectors, names = shared.value
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            of_key = None
             for batch in batches:
                 if not len(batch):
                     continue
-                own = np.array(batch.column(2).to_pylist(), np.float32).astype(np.float64)
-                score = own @ vectors.T
-                stamp = np.array(batch.column(1).fill_null("").to_pylist())
-                by_time = np.argsort(stamp, kind="stable")[::-1]
-                take = by_time[np.argsort(-score[by_time], axis=0, kind="stable")[:k]]
-                at = take.T.reshape(-1)
-                which = np.repeat(np.arange(len(names)), take.shape[0])
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in which]), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(score[at, which])], names=["query_id", key, order, "similarity"])
+                of_key = batch.column(0).type
+                score = np.array(batch.column(2).to_pylist(), np.float32).astype(np.float64) @ vectors.T
+                stamp, keys = (np.array(batch.column(i).to_pylist(), object) for i in (1, 0))
+                stamp = np.array(["" if x is None else x for x in stamp])
+                new = []
+                for q in range(len(names)):
+                    rows = (score[:, q], stamp, keys)
+                    if held:
+                        rows = tuple(np.concatenate(pair) for pair in zip(held[q], rows, strict=True))
+                    at = best_rows(*rows, k)
+                    new.append(tuple(x[at] for x in rows))
+                held = new
+            for name, (score, stamp, keys) in zip(names, held, strict=False):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys.tolist(), of_key), pa.array(stamp.tolist(), pa.string()), pa.array(score)], names=["query_id", key, order, "similarity"])
 
         part = map_arrow(nodes.select(key, F.col(order).cast("string").alias(order), "embedding"), step, schema)
         best = part if best is None else best.unionByName(part)

@@ -410,7 +410,7 @@ def content_scan_all(spark, sf):
     return docs.unionByName(scan.findings(table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), "html"), "path", "html"))
 
 
-SUFFIXES = "(values " + ", ".join(f"('{s}', '{kind}', '{mime}')" for kind, rows in scan.KINDS.items() for s, mime in rows) + ") k(suffix, kind, mime)"
+SUFFIXES = "(values " + ", ".join(f"('{suffix}', '{kind}', '{mime}')" for suffix, kind, _, mime in scan.FILES) + ") k(suffix, kind, mime)"
 
 
 @query(rf"""with r as (select page_id, unnest(list_distinct(regexp_extract_all(html || ' see ' || split_part(split_part(url, '?', 1), '#', 1) || '/files/report%20' || page_id || ['.pdf', '.PNG', '.jsonl', '.py', '.unknown'][cast(page_id % 5 + 1 as integer)] || '?v=2', '(?:(?:https?|file)://|/)[^\s<>''"()\[\]]+'))) as reference from pages),

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions import text
+from tracewell.functions import columns, text
 from tracewell.functions.shipping import map_arrow
 from tracewell.operators import links, turns
 from tracewell.sources.tables import settled
@@ -55,16 +55,21 @@ def _features(rows: DataFrame) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("norm", pa.string()), ("content_hash", pa.string()), ("terms", pa.list_(pa.string())), ("tokens", pa.list_(pa.string())), ("embedding", pa.list_(pa.float32())), ("facets", pa.list_(pa.list_(pa.float32()))), ("bands", pa.list_(pa.string())), ("anchors", pa.list_(pa.string()))])
         for batch in batches:
-            out = []
-            for level, body, user in zip(*(batch.column(i).to_pylist() for i in (1, 8, 9)), strict=True):
-                body = body or ""
+            levels, bodies, users = (batch.column(i).to_pylist() for i in (1, 8, 9))
+            bodies = [x or "" for x in bodies]
+            # One batch of vectors: every body, and the facets of first parts.
+            spoken = [text.node_facets(user, body) if user is not None else [] for body, user in zip(bodies, users, strict=True)]
+            vectors = text.embedded([*bodies, *(f for own in spoken for f in own)])
+            at, out = len(bodies), []
+            for row, (level, body, own) in enumerate(zip(levels, bodies, spoken, strict=True)):
+                facets = [vectors[row], *vectors[at : at + len(own)]]
+                at += len(own)
                 keys = text.routing_terms(body, TERMS[level])
-                vector = text.embed(body)
-                facets = [vector, *(text.embed(f) for f in text.node_facets(user, body))] if user is not None else [vector]
-                stable = [a for a in text.anchors(body)[1] if text.indexable(a)][:ANCHORS_A_PART] if level == "exchange" else []
+                found = level in ("exchange", "tool")
+                stable = [a for a in text.anchors(body)[1] if text.indexable(a)] if found else []
                 signs = {b for f in facets for b in text.bands(text.signature(f))} if level == "exchange" else set()
                 tokens = [t for k in keys for t in text.pattern(r"[^\W_]+").findall(k)]
-                out.append({"norm": text.normalize(body), "content_hash": text.fingerprint(body), "terms": keys, "tokens": tokens, "embedding": vector.astype(np.float32), "facets": [f.astype(np.float32) for f in facets], "bands": sorted(signs), "anchors": stable})
+                out.append({"norm": text.normalize(body), "content_hash": text.fingerprint(body), "terms": keys, "tokens": tokens, "embedding": vectors[row].astype(np.float32), "facets": [f.astype(np.float32) for f in facets], "bands": sorted(signs), "anchors": stable if level == "tool" else stable[:ANCHORS_A_PART]})
             made = pa.RecordBatch.from_pylist(out, schema=schema)
             yield pa.RecordBatch.from_arrays([*batch.columns, *made.columns], names=[*batch.schema.names, *schema.names])
 
@@ -83,8 +88,8 @@ def _keys(rows: DataFrame) -> DataFrame:
     return map_arrow(messages, step, "archive_path string, term string")
 
 
-def nodes(exchange: DataFrame, boundary: DataFrame, salient: int = SALIENT) -> DataFrame:
-    """All nodes, without their features."""
+def nodes(exchange: DataFrame, boundary: DataFrame, salient: int = SALIENT, about: DataFrame | None = None) -> DataFrame:
+    """All nodes, without their features. about: (archive_path, project, cwd, git_branch) of archives, where known."""
     none = F.lit(None).cast("string")
     key = F.left(F.sha2(F.lower("archive_path"), 256), F.lit(12))
     combined = F.concat(F.lit("User: "), "user_message", F.lit("\n\nAssistant: "), "assistant_message")
@@ -113,7 +118,10 @@ def nodes(exchange: DataFrame, boundary: DataFrame, salient: int = SALIENT) -> D
     ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("archive_path").orderBy(F.desc("df"), "term"))).filter(F.col("n") <= salient)
     terms = ranked.groupBy("archive_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]), " ").alias("salient"))
     s = ends.join(prompts, "archive_path").join(epochs, "archive_path", "left").join(terms, "archive_path", "left")
-    body = F.concat_ws("\n", F.lit("Project: "), F.lit("Working directory: "), F.lit("Git branch: "), F.concat(F.lit("Compaction epochs: "), F.coalesce("epochs", F.lit(1)).cast("string")), F.nullif("summary", F.lit("")), "prompts", F.concat(F.lit("Key terms: "), F.coalesce("salient", F.lit(""))))
+    if about is not None:
+        s = s.join(about.select("archive_path", "project", "cwd", "git_branch"), "archive_path", "left")
+    known = lambda name: F.coalesce(name, F.lit("")) if about is not None else F.lit("")
+    body = F.concat_ws("\n", F.concat(F.lit("Project: "), known("project")), F.concat(F.lit("Working directory: "), known("cwd")), F.concat(F.lit("Git branch: "), known("git_branch")), F.concat(F.lit("Compaction epochs: "), F.coalesce("epochs", F.lit(1)).cast("string")), F.nullif("summary", F.lit("")), "prompts", F.concat(F.lit("Key terms: "), F.coalesce("salient", F.lit(""))))
     s = s.select(session.alias("node_id"), F.lit("session").alias("level"), "session_id", "archive_path", none.alias("parent_id"), "line_start", "line_end", F.col("last.timestamp").alias("timestamp"), F.left(body, F.lit(SESSION_CHARS)).alias("text"), none.alias("user"))
     return s.unionByName(episode).unionByName(parts)
 
@@ -128,8 +136,50 @@ def edges(made: DataFrame) -> DataFrame:
     return same.unionByName(following).unionByName(shared)
 
 
-def build(lines: DataFrame) -> Index:
-    """The index of transcript lines."""
-    exchange = settled(turns.exchanges(lines), "exchanges")
-    made = settled(_features(nodes(exchange, turns.compactions(lines))), "nodes")
-    return Index(made, exchange, settled(edges(made), "edges"))
+def without_copies(exchange: DataFrame, forks: DataFrame) -> DataFrame:
+    """Exchanges without those whose question a forked archive repeats from its parent session; an archive of copies only keeps
+    them. forks: (archive_path, session_id, forked_from_id)."""
+    parents = forks.filter("forked_from_id <> ''").select("archive_path", F.col("forked_from_id").alias("_parent"))
+    said = turns.asked(exchange)
+    marks = exchange.select(F.col("session_id").alias("_parent"), said.alias("_said")).distinct()
+    own = exchange.select("id", "archive_path", said.alias("_said")).join(parents, "archive_path")
+    held = own.join(marks, ["_parent", "_said"], "left_semi").select("id", "archive_path", F.lit(True).alias("_copy"))
+    left = own.join(held.select("id"), "id", "left_anti").select("archive_path").distinct()
+    gone = held.join(left, "archive_path", "left_semi").select("id")
+    return exchange.join(gone, "id", "left_anti")
+
+
+def tool_rows(events: DataFrame, exchange: DataFrame) -> DataFrame:
+    """Tool events as nodes of their own, beside the exchange that holds them, with the anchors of all their text."""
+    from tracewell.sources import events as transcripts
+
+    of = exchange.groupBy("archive_path").agg(F.first("session_id").alias("session_id"), F.max("timestamp").alias("_late"))
+    t = transcripts.tool_nodes(events, exchange).join(of, "archive_path")
+    return t.select("node_id", F.lit("tool").alias("level"), "session_id", "archive_path", "parent_id", F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.coalesce(F.nullif("timestamp", F.lit("")), "_late").alias("timestamp"), "text", F.lit(None).cast("string").alias("user"), F.col("anchors").alias("_found"))
+
+
+def made(lines: DataFrame, events: DataFrame | None = None, sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, exchanges) of transcript lines. events and sessions (`sources.events`) add tool events, what is known of
+    the archives, and forks, whose copied turns go."""
+    exchange = turns.exchanges(lines)
+    about = None
+    if sessions is not None:
+        about = sessions.withColumnRenamed("path", "archive_path")
+        exchange = without_copies(exchange, about)
+    exchange = settled(exchange, "exchanges")
+    rows = nodes(exchange, turns.compactions(lines), about=about)
+    if events is None:
+        return settled(_features(rows), "nodes"), exchange
+    tools = settled(tool_rows(events, exchange), "tools")
+    with_tools = _features(rows.unionByName(tools.drop("_found")))
+    # Tools are exchange nodes as all others; only their number of terms is their own.
+    more = tools.select("node_id", F.col("_found").alias("_more"))
+    stable = F.filter(columns.stable_anchors(F.coalesce("_more", F.array().cast("array<string>"))), lambda a: a != "")
+    with_tools = with_tools.join(more, "node_id", "left").withColumn("anchors", F.array_distinct(F.concat("anchors", stable))).drop("_more")
+    return settled(with_tools.withColumn("level", F.when(F.col("level") == "tool", "exchange").otherwise(F.col("level"))), "nodes"), exchange
+
+
+def build(lines: DataFrame, events: DataFrame | None = None, sessions: DataFrame | None = None) -> Index:
+    """The index of transcript lines; `store.Store` keeps one on disk."""
+    node, exchange = made(lines, events, sessions)
+    return Index(node, exchange, settled(edges(node), "edges"))

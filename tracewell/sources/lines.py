@@ -71,8 +71,22 @@ def guard(path: str, size: int) -> str:
         return hashlib.sha256(handle.read(min(size, TAIL))).hexdigest()
 
 
+def whole_lines(path: str) -> int:
+    """Where the last line that has ended ends, looked for from the end of the file."""
+    with open(path, "rb") as handle:
+        at = handle.seek(0, os.SEEK_END)
+        while at:
+            start = max(0, at - CHUNK)
+            handle.seek(start)
+            found = handle.read(at - start).rfind(b"\n")
+            if found >= 0:
+                return start + found + 1
+            at = start
+    return 0
+
+
 class FilePart(InputPartition):
-    def __init__(self, path: str, offset: int = 0, line: int = 1, end: int | None = None):
+    def __init__(self, path: str, offset: int = 0, line: int | None = 1, end: int | None = None):
         super().__init__(path)
         self.path, self.offset, self.line, self.end = path, offset, line, end
 
@@ -93,7 +107,7 @@ class LineReader(DataSourceReader):
 
 
 class LineStream(DataSourceStreamReader):
-    """What has been appended. An offset holds size, lines and guard of each file; a file that shrank or whose tail
+    """What has been appended. An offset holds size and guard of each file; a file that shrank or whose tail
     changed is an error, never a silent skip."""
 
     def __init__(self, root: str):
@@ -103,30 +117,26 @@ class LineStream(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        out = {}
-        for path in transcripts(self.root):
-            with open(path, "rb") as handle:
-                data_end, lines = 0, 0
-                while piece := handle.readline(CHUNK):
-                    if piece.endswith(b"\n"):
-                        lines += 1
-                        data_end = handle.tell()
-            out[path] = [data_end, lines, guard(path, data_end)]
-        return out
+        return {path: [end, guard(path, end)] for path in transcripts(self.root) for end in [whole_lines(path)]}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         parts = []
-        for path, (size, _, _) in end.items():
-            had, lines, mark = start.get(path, [0, 0, None])
+        for path, (size, _) in end.items():
+            had, mark = start.get(path, [0, None])
             if size < had or (had and guard(path, had) != mark):
                 raise RuntimeError(f"{path} was rewritten after it was read; build its index again")
             if size > had:
-                parts.append(FilePart(path, had, lines + 1, size))
+                parts.append(FilePart(path, had, None, size))
         return parts
 
     def read(self, part: FilePart) -> Iterator[tuple]:
         with open(part.path, "rb") as handle:
-            for row in bounded_lines(handle, part.path, part.offset, part.line):
+            # Counted by the task: the driver reads the ends of files only.
+            line, left = 1, part.offset
+            while left:
+                piece = handle.read(min(CHUNK, left))
+                line, left = line + piece.count(b"\n"), left - len(piece)
+            for row in bounded_lines(handle, part.path, part.offset, line):
                 if part.end is not None and row[2] >= part.end:
                     return
                 yield row
