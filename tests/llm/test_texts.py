@@ -227,6 +227,39 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def slow_fingerprint(text):
+    """The definition, span by span, in plain numbers."""
+    p, code = fingerprints.P, [ord(c) + 1 for c in text]
+    n, width = len(code), min(fingerprints.SPAN, len(code))
+    whole = [sum(c * pow(b, i, p) for i, c in enumerate(code)) % p for b in fingerprints.BASES]
+    least = [None] * fingerprints.CLASSES
+    for at in range(n - width + 1 if n else 0):
+        one, two = (sum(c * pow(b, i, p) for i, c in enumerate(code[at : at + width])) % p for b in fingerprints.BASES)
+        h = one << 31 | two
+        h = (h * 0x9E3779B97F4A7C15 % 2**64) ^ (h >> 29)
+        h = h * 0xBF58476D1CE4E5B9 % 2**64
+        k, rest = h >> 58, h % 2**58
+        least[k] = rest if least[k] is None else min(least[k], rest)
+    cells = [-1 if x is None else x >> 42 for x in least]
+    return f"{n:x}-{whole[0]:08x}{whole[1]:08x}-" + "".join("...." if c < 0 else f"{c:04x}" for c in cells), cells
+
+
+def test_fingerprints_are_those_of_the_definition(spark):
+    texts = [None, "", "a", "short text", cases.prose(11, 40), cases.prose(11, 39) + " x", "日本語 " * 12, cases.prose(12, 60)]
+    got = sorted(fingerprints.compared(cases.docs(spark, texts)).collect(), key=lambda r: r["doc_id"])
+    plain = [t or "" for t in texts]
+    for i, r in enumerate(got):
+        own, after = plain[i], plain[(i + 1) % len(plain)]
+        k = len(own) // 4
+        other = own[: len(own) - k] + after[:k]
+        a, b, c = (slow_fingerprint(x) for x in (own, other, after))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (a[0], b[0]) and r["edited_sha256"] == hashlib.sha256(other.encode()).hexdigest()
+        for x, name, text in ((b, "edited", other), (c, "next", after)):
+            some = [(v, w) for v, w in zip(a[1], x[1], strict=True) if v >= 0 or w >= 0]
+            assert r[f"near_{name}"] == pytest.approx(1.0 if a[0] == x[0] else sum(v == w for v, w in some) / max(1, len(some)))
+            assert r[f"common_{name}"] == next((j for j, (v, w) in enumerate(zip(own, text, strict=False)) if v != w), min(len(own), len(text)))
+
+
 # ---- packing
 
 
@@ -569,3 +602,24 @@ def test_pipeline(spark, tmp_path):
         kept[name] = docs.count()
     assert kept["language"] == 55 and kept["lines"] == 55 and 40 <= kept["near"] <= 42
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_near_copies_are_caught_behind_line_dedup(spark):
+    """Copies of several lines, a few words changed: the line stage leaves pieces of them that no later stage could tell."""
+    import corpus_pipeline as pipeline
+
+    r = random.Random(3)
+    texts = []
+    for i in range(60):
+        own = [cases.prose(7000 + 10 * i + k, r.randint(8, 40), 600) for k in range(6)]
+        words = "\n".join(own).split(" ")
+        for at in r.sample(range(len(words)), max(2, len(words) // 25)):
+            words[at] = "changed" + words[at][:2]
+        texts += ["\n".join(own), " ".join(words)]
+    texts += [cases.prose(9000 + i, 60, 600) + "\n" + cases.prose(9500 + i, 60, 600) for i in range(40)]  # clean
+    docs = cases.docs(spark, texts)
+    kept = pipeline.drop_repeated_lines(spark, docs, "")
+    assert kept.columns == docs.columns
+    left = {x["doc_id"] for x in pipeline.drop_near_copies(spark, pipeline.written(kept, "lines"), "").collect()}
+    assert sum(2 * i in left for i in range(60)) == 60 and sum(2 * i + 1 not in left for i in range(60)) >= 54
+    assert all(120 + i in left for i in range(40))

@@ -1,14 +1,18 @@
-"""What the training-data operators share: the shared folder, hash keys, ranks without a single task."""
+"""What the training-data operators share: written tables, hash keys, ranks without a single task."""
 
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources.tables import settled as written
+from tracewell.sources.tables import shared_folder as shared_dir
+
+__all__ = ["WORD", "bucketed", "carrying", "hash_key", "restored", "running_before", "shared_dir", "slice_digits", "written"]
+
 #: A word of the contracts: a run without ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one slice of a hash-ordered group should hold at most.
@@ -17,23 +21,6 @@ SLICE_ROWS = 20_000
 SLICE_DIGITS = 2
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, by: str) -> DataFrame:
     """df, which is hash-dealt by a column, as a table in the shared folder that is read that way again."""
     spark = df.sparkSession

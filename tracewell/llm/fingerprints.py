@@ -9,7 +9,7 @@ A fingerprint is text: length, hash of the whole, and a sketch of all spans of S
 of each of 64 classes. The likeness of two fingerprints is the share of classes that agree, an estimate of the share of
 spans that the texts have in common.
 
-Defined results: a null text is empty; a text shorter than SPAN is one span; equal texts have equal fingerprints and a
+Defined results: a null text is empty; a very long text is hashed in blocks and has whole prefix arrays; a text shorter than SPAN is one span; equal texts have equal fingerprints and a
 likeness of 1; rows with the same id are neighbours, in order of text; null ids come first.
 """
 
@@ -156,7 +156,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_edited", pa.int64()), ("common_next", pa.int64())])
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,7 +200,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of all texts and of their edited forms, with likenesses to the edited form and the next text."""
+    """Fingerprints of all texts and of their edited forms, with likenesses to the edited form and the next text, and how
+    many code points they have in common with these from the front (the longest common extension of both fronts)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, met_guest = None, False
@@ -211,16 +212,16 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                     continue
                 met_guest = guest
                 words = words or ""
-                now = (doc, words, held[2] if held and held[1] == words else fingerprint(words))
+                now = (doc, words, *(held[2:] if held and held[1] == words else (fingerprint(words), Prefix(words))))
                 if held is not None:
                     out.append(row(held, now))
                 held = now
             yield pa.RecordBatch.from_pylist(out, schema=OUT)
 
     def row(one: tuple, after: tuple) -> dict:
-        doc, words, own = one
+        doc, words, own, prefix = one
         other = edited(words, after[1])
         mark = fingerprint(other)
-        return {"doc_id": doc, "n_chars": len(words), "edited_sha256": hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": own[0], "edited_fingerprint": mark[0], "near_edited": likeness(own, mark), "near_next": likeness(own, after[2])}
+        return {"doc_id": doc, "n_chars": len(words), "edited_sha256": hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": own[0], "edited_fingerprint": mark[0], "near_edited": likeness(own, mark), "near_next": likeness(own, after[2]), "common_edited": prefix.extension(0, Prefix(other), 0), "common_next": prefix.extension(0, after[3], 0)}
 
-    return map_arrow(with_next(docs, id_col, text), rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(with_next(docs, id_col, text), rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long")

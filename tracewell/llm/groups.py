@@ -12,7 +12,7 @@ from .components import components, merged
 
 #: Nodes of a group that are all compared at first, and after groups have been split; nodes that a round compares with a
 #: larger group; and how many other keys of large groups each such key of a node goes with.
-FEW, WHOLE, HUBS, BESIDE = 3, 64, 32, 8
+FEW, WHOLE, HUBS, BESIDE = 3, 64, 256, 8
 
 Verify = Callable[[DataFrame], DataFrame]
 
