@@ -18,8 +18,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of like lines one occurrence stays."""
-    return lines.without_fuzzy_lines(docs)
+    """Of each group of like lines one occurrence stays. Documents that consist of copied lines go with them."""
+    return lines.without_fuzzy_lines(docs, copied=lines.SIMILARITY)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
