@@ -43,3 +43,21 @@ def salient(rows: DataFrame, group: str, terms: Column, k: int) -> DataFrame:
     """The k terms that occur in most rows of a group; ties by term."""
     t = rows.select(group, F.explode(F.array_distinct(terms)).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
     return top(t, [group], [F.desc("df"), "term"], k)
+
+
+def covering(rows: DataFrame, wanted: DataFrame, key: str, least: float) -> DataFrame:
+    """(query_id, key, coverage): the rows (key, terms) that have at least a share of a query's (query_id, terms).
+
+    Of a query's n terms any row that has enough has one of the n - ceil(least n) + 1 rarest, so only these look for
+    candidates; the whole lists are compared once for each candidate."""
+    w = wanted.select("query_id", F.array_distinct("terms").alias("own")).withColumn("n", F.size("own"))
+    posting = rows.select(key, F.explode(F.array_distinct("terms")).alias("term"))
+    by_term = w.select("query_id", "n", F.explode("own").alias("term"))
+    df = posting.join(by_term.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term")
+    enough = F.ceil(F.lit(least) * F.col("n") - F.lit(1e-6) * F.col("n"))
+    rare = by_term.join(df, "term", "left").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("n") - enough + 1).filter("df is not null")
+    found = posting.join(rare.select("query_id", "term"), "term").select("query_id", key).distinct()
+    both = found.join(w, "query_id").join(rows.select(key, "terms"), key)
+    share = F.round(F.size(F.array_intersect("own", "terms")) / F.col("n"), 6)
+    return both.select("query_id", key, share.alias("coverage")).filter(F.col("coverage") >= least)

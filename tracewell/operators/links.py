@@ -16,10 +16,17 @@ def anchor_postings(rows: DataFrame, key: str, anchors: Column) -> DataFrame:
 
 
 def division(postings: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """(query_id, key): the rows that have all anchors of a query's (query_id, anchor)."""
-    need = wanted.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    have = postings.join(wanted.distinct(), "anchor").groupBy("query_id", key).agg(F.count_distinct("anchor").alias("have"))
-    return have.join(need, "query_id").filter("have = need").select("query_id", key)
+    """(query_id, key): the rows that have all anchors of a query's (query_id, anchor).
+
+    Candidates come from a query's rarest anchor only, so a common one costs nothing beside a rare one; the others are
+    checked in the row's own list."""
+    asked = wanted.distinct()
+    size = postings.join(asked.select("anchor").distinct(), "anchor", "left_semi").groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
+    first = asked.join(size, "anchor", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "anchor")).alias("rarest"), F.collect_set("anchor").alias("own"))
+    first = first.filter("rarest.df > 0").select("query_id", F.col("rarest.anchor").alias("anchor"), "own")
+    candidates = postings.join(first, "anchor").select("query_id", key, "own").distinct()
+    held = postings.groupBy(key).agg(F.collect_set("anchor").alias("held"))
+    return candidates.join(held, key).filter(F.size(F.array_except("own", "held")) == 0).select("query_id", key)
 
 
 def both_ways(pairs: DataFrame, relation: str, weight: float) -> DataFrame:

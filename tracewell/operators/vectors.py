@@ -85,6 +85,37 @@ def band_matches(postings: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return postings.join(wanted, "band").groupBy("query_id", key).agg(F.count_distinct("band").alias("matches"))
 
 
+def best_of_keys(nodes: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, facet, similarity): for each query vector (query_id, facet, vector) and each key the best scalar
+    product with the key's nodes (key, embedding). Query vectors go to the nodes in blocks of a fixed size, and each
+    partition keeps one number for each of its keys and query vectors, so no pair is a row."""
+    of, facet = (queries.schema[c].dataType.simpleString() for c in ("query_id", "facet"))
+    schema = f"query_id {of}, key {nodes.schema[key].dataType.simpleString()}, facet {facet}, similarity double"
+    out = nodes.sparkSession.createDataFrame([], schema)
+    for rows in blocks(queries.select(F.struct("query_id", "facet").alias("query_id"), "vector"), "vector"):
+        shared = nodes.sparkSession.sparkContext.broadcast(([tuple(q) for q, _ in rows], np.array([v for _, v in rows], np.float64)))
+
+        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, vectors = shared.value
+            held: dict = {}
+            kind = None
+            for batch in batches:
+                kind = batch.column(0).type
+                keys = np.array(batch.column(0).to_pylist(), object)
+                if not len(keys):
+                    continue
+                score = np.array(batch.column(1).to_pylist(), np.float32).astype(np.float64) @ vectors.T
+                for own in dict.fromkeys(keys.tolist()):
+                    best = score[[k == own for k in keys]].max(0)
+                    held[own] = np.maximum(held[own], best) if own in held else best
+            for own, best in held.items():
+                columns = ([q for q, _ in names], [own] * len(names), [f for _, f in names], best)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], kind), pa.array(columns[2]), pa.array(columns[3])], names=["query_id", "key", "facet", "similarity"])
+
+        out = out.unionByName(map_arrow(nodes.select(key, "embedding"), step, schema))
+    return out.groupBy("query_id", "key", "facet").agg(F.max("similarity").alias("similarity"))
+
+
 def maxsim(pairs: DataFrame) -> DataFrame:
     """(query_id, key, similarity) from (query_id, key, facet, similarity): the mean over a query's facets of the best
     similarity, 0 at least."""

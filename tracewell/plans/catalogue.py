@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import columns, text
 from tracewell.operators import evaluation, evidence, intervals, lexical, lifecycle, links, ranking, scan, turns, vectors
+from tracewell.sources.tables import settled, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,6 +136,11 @@ TERMS = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z][a-z0-
 PART = "greatest(1e-6::double, ln((n_rows - df + 0.5::double) / (df + 0.5::double))) * (2.3::double * tf) * 2.2::double / (2.3::double * tf + 1.2::double * (0.25::double + 0.75::double * dl / avg_dl))"
 
 
+def tokens(spark, sf):
+    """The documents' terms, written: postings, their frequencies and their lengths all start from them."""
+    return settled(table(spark, sf, "documents").select("doc_id", columns.ascii_terms(F.col("text")).alias("terms")), "tokens")
+
+
 @query(f"""with d as (select doc_id, {TERMS.format('text')} as t from documents), s as (select count(*) as n_rows, avg(len(t)) as avg_dl from d),
 p as (select doc_id, len(t) as dl, 1 as tf, unnest(t) as term from d), w as (select item_id as query_id, unnest({TERMS.format('text')}) as term from benchmark),
 h as (select * from p where term in (select term from w)), f as (select term, count(*) as df from h group by term),
@@ -142,7 +149,7 @@ k as (select *, row_number() over (partition by query_id order by score desc, do
 select query_id, doc_id, score, cast(rank as integer) as rank from k where rank <= 5""")
 def bm25_documents(spark, sf):
     """The five best documents for each benchmark text."""
-    docs = table(spark, sf, "documents").select("doc_id", columns.ascii_terms(F.col("text")).alias("terms"))
+    docs = tokens(spark, sf)
     wanted = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(columns.ascii_terms(F.col("text"))).alias("term"))
     score = lexical.bm25(lexical.postings(docs, "doc_id", F.col("terms")), wanted, lexical.corpus(docs, F.col("terms")), "doc_id")
     return lexical.top(score.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), "doc_id"], 5).select("query_id", "doc_id", "score", "rank")
@@ -175,11 +182,8 @@ r as (select item_id, doc_id, round(c / n::double, 6) as coverage from m)
 select item_id, doc_id, coverage from r where coverage >= 0.65""")
 def term_coverage(spark, sf):
     """Documents that cover at least 0.65 of a benchmark text's terms."""
-    own = table(spark, sf, "benchmark").select("item_id", columns.ascii_terms(F.col("text")).alias("q"))
-    w = own.select("item_id", F.size("q").alias("n"), F.explode("q").alias("term"))
-    d = table(spark, sf, "documents").select("doc_id", F.explode(columns.ascii_terms(F.col("text"))).alias("term"))
-    t = d.join(w, "term").groupBy("item_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 6).alias("coverage"))
-    return t.filter("coverage >= 0.65")
+    wanted = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), columns.ascii_terms(F.col("text")).alias("terms"))
+    return lexical.covering(tokens(spark, sf), wanted, "doc_id", 0.65).withColumnRenamed("query_id", "item_id")
 
 
 @query(r"""with d as (select doc_id, sha256(lower(regexp_replace(trim(text), '\s+', ' ', 'g'))) as h from documents)
@@ -276,9 +280,8 @@ select query_id, key, round(avg(greatest(0, best)), 6) as similarity from s grou
 def maxsim(spark, sf):
     """Every hundredth vector against the vectors of each label."""
     t = table(spark, sf, "embeddings")
-    q = t.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("facet"), F.col("embedding").alias("v"))
-    pairs = q.crossJoin(t.select(F.col("label").alias("key"), "embedding")).select("query_id", "key", "facet", columns.dot("v", "embedding").alias("similarity"))
-    return vectors.maxsim(pairs).withColumn("similarity", F.round("similarity", 6))
+    q = t.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("facet"), F.col("embedding").alias("vector"))
+    return vectors.maxsim(vectors.best_of_keys(t, q, "label")).withColumn("similarity", F.round("similarity", 6))
 
 
 def hashed_components(spark, sf):
@@ -464,20 +467,31 @@ def canonical_archives(spark, sf):
     return lifecycle.canonical(f).select("session_id", "path", "size", lifecycle.canonical_path(F.col("session_id")).alias("canonical_path"))
 
 
-@query(f"""with {EXCHANGES} select 'session' as level, count(distinct session_id) as nodes from ex union all select 'exchange', count(*) from ex""")
-def index_status(spark, sf):
-    ex = turns.exchanges(lines_of(spark, sf))
-    nodes = ex.select("session_id").distinct().select(F.lit("session").alias("level")).unionByName(ex.select(F.lit("exchange").alias("level")))
-    return nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
-
-
 # ---- whole plans ---------------------------------------------------------------------------------------------------
 
 
 def conversation_index(spark, sf):
-    from tracewell.plans import index
+    """The index of the conversations, kept in the shared folder: built once, then only compared with the lines."""
+    from tracewell.plans.store import Store
+
+    store = Store(spark, f"{shared_folder(spark)}/conversation-index-{hashlib.sha256(sf.encode()).hexdigest()[:12]}")
+    store.sync(lines_of(spark, sf))
+    return store.snapshot()
+
+
+@query(f"""with {EXCHANGES}, n as (select *, len('User: ' || user_message || chr(10) || chr(10) || 'Assistant: ' || assistant_message) as size from ex),
+parts as (select sum(case when size <= 12000 then 1 else greatest(1, ceil((size - 800) / 11200.0)) end) as n from n),
+ep as (select e.*, (select count(*) from lines l where l.archive_path = e.archive_path and l.role = 'system' and l.line < e.line_start) as epoch from ex e),
+windows as (select sum(1 + greatest(0, ceil((n - 10) / 8.0))) as n from (select archive_path, epoch, count(*) as n from ep group by all)),
+follows as (select count(*) as n from (select lead(line_start) over (partition by session_id order by line_start) as f from ex) where f is not null)
+select 'nodes:session' as what, count(distinct session_id) as rows from ex union all select 'nodes:exchange', cast(n as bigint) from parts union all select 'nodes:episode', cast(n as bigint) from windows
+union all select 'exchanges', count(*) from ex union all select 'sessions', count(distinct session_id) from ex union all select 'archives', count(distinct archive_path) from ex union all select 'edges:temporal', 2 * n from follows where n > 0 union all select 'tool nodes', 0""")
+def index_status(spark, sf):
+    """What the index holds: nodes by level, exchanges, sessions, archives, edges between consecutive exchanges."""
+    from tracewell.plans import store
 
-    return index.build(lines_of(spark, sf))
+    told = store.status(conversation_index(spark, sf))
+    return told.filter(F.col("what").isin("nodes:session", "nodes:exchange", "nodes:episode", "exchanges", "sessions", "archives", "edges:temporal", "tool nodes"))
 
 
 def last_questions(built):
@@ -499,7 +513,6 @@ def recall_full(spark, sf):
 def evidence_plan(spark, sf):
     """The greedy evidence sets of the same queries."""
     from tracewell.plans import recall
-    from tracewell.sources.tables import settled
 
     built = conversation_index(spark, sf)
     found, flags = recall.hits(built, settled(recall.understood(last_questions(built)), "asked"))
