@@ -11,8 +11,8 @@ from .common import written
 from .components import components, merged
 
 #: Nodes of a group that are all compared at first, and after groups have been split; nodes that a round compares with a
-#: larger group; and how many other keys of large groups each such key of a node goes with.
-FEW, WHOLE, HUBS, BESIDE = 3, 64, 256, 8
+#: larger group; how many other keys of large groups each such key of a node goes with; and how often groups are split.
+FEW, WHOLE, HUBS, BESIDE, DEPTH = 3, 24, 256, 8, 4
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -23,9 +23,9 @@ def linked(keyed: DataFrame, verify: Verify) -> tuple[DataFrame, DataFrame]:
 
     Every node of a group meets the group's least; in groups of up to FEW all nodes meet. Larger groups whose nodes are
     in several components go on, split by a second key that is such a one as well (pairs with a small group in common
-    have met): there, in groups of up to WHOLE nodes, all of different components meet, and larger ones are settled in
-    rounds: the HUBS nodes of the smallest components meet all of other components and leave, until one component is
-    left."""
+    have met), if need be by a third, and so on (`divided`): then, in groups of up to WHOLE nodes, all of different
+    components meet. Larger ones are settled in rounds: the HUBS nodes of the smallest components meet all of other
+    components and leave, until one component is left."""
     order = Window.partitionBy("key").orderBy("node")
     count = F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     members = keyed.select("key", "node", count.alias("n"), F.first("node").over(order).alias("hub"), F.lag("node").over(order).alias("beside"))
@@ -41,22 +41,34 @@ def linked(keyed: DataFrame, verify: Verify) -> tuple[DataFrame, DataFrame]:
 
 def divided(large: DataFrame, verify: Verify, found: DataFrame, component: DataFrame, tried: DataFrame, fits: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links and components after the members (key, node, size) of large groups have met those of other components that
-    share a second large key; fits says of two sizes whether their nodes can be links at all."""
-    large = several(large, component)
-    # Of the keys of a node, in order, each with the BESIDE after it.
-    own = large.groupBy("node", "component", "size").agg(F.sort_array(F.collect_set("key")).alias("keys")).filter("size(keys) > 1")
-    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BESIDE), lambda y: F.xxhash64(x, y))))
-    twice = own.select("node", "component", "size", F.explode(both).alias("key"))
+    share a second large key, or where these groups are large as well a third, and so on; fits says of two sizes whether
+    their nodes can be links at all. What has no further key to be split by, or is large after DEPTH times, is settled
+    in rounds."""
     group = Window.partitionBy("key")
-    several_left = F.min("component").over(group) < F.max("component").over(group)
-    before = F.collect_list(F.struct("node", "component", "size")).over(group.orderBy("node").rowsBetween(-WHOLE, -1))
-    twice = twice.select("key", "node", "component", "size", F.count(F.lit(1)).over(group).alias("n"), several_left.alias("more"), before.alias("before")).filter("more")
     meets = lambda o: (o["component"] != F.col("component")) & (F.lit(True) if fits is None else fits(o["size"], F.col("size")))
-    others = F.when(F.col("n") <= WHOLE + 1, F.transform(F.filter("before", meets), lambda o: o["node"]))
-    twice = written(twice.select("key", "node", others.alias("others")).filter("others is null or size(others) > 0"), "twice")
-    fresh = twice.select(F.explode("others").alias("a"), F.col("node").alias("b")).distinct()
-    found, component, tried = more_links(fresh, verify, found, component, tried)
-    return rounds(twice.filter("others is null").select("key", "node"), verify, found, component, tried)
+    left = None
+    for depth in range(DEPTH):
+        # Of the keys of a node, in order, each with the BESIDE after it.
+        own = several(large, component).groupBy("node", "component", "size").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        if depth:
+            own = written(own, "keys")
+            alone = own.filter("size(keys) = 1").select(F.col("keys")[0].alias("key"), "node")
+            left = alone if left is None else left.union(alone)
+        both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BESIDE), lambda y: F.xxhash64(x, y))))
+        next_ = own.filter("size(keys) > 1").select("node", "component", "size", F.explode(both).alias("key")).distinct()
+        several_left = F.min("component").over(group) < F.max("component").over(group)
+        before = F.collect_list(F.struct("node", "component", "size")).over(group.orderBy("node").rowsBetween(-WHOLE, -1))
+        next_ = next_.select("key", "node", "component", "size", F.count(F.lit(1)).over(group).alias("n"), several_left.alias("more"), before.alias("before")).filter("more")
+        others = F.when(F.col("n") <= WHOLE + 1, F.transform(F.filter("before", meets), lambda o: o["node"]))
+        next_ = written(next_.select("key", "node", "size", others.alias("others")).filter("others is null or size(others) > 0"), "divided")
+        fresh = next_.select(F.explode("others").alias("a"), F.col("node").alias("b")).distinct()
+        found, component, tried = more_links(fresh, verify, found, component, tried)
+        large = next_.filter("others is null").select("key", "node", "size")
+        if large.isEmpty():
+            break
+    else:
+        left = left.union(large.select("key", "node"))
+    return (found, component) if left is None else rounds(written(left, "left"), verify, found, component, tried)
 
 
 def several(members: DataFrame, component: DataFrame) -> DataFrame:
