@@ -39,22 +39,22 @@ def linked(keyed: DataFrame, verify: Verify) -> tuple[DataFrame, DataFrame]:
     return divided(large, verify, found, component, tried)
 
 
-def divided(large: DataFrame, verify: Verify, found: DataFrame, component: DataFrame, tried: DataFrame, fits: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def divided(large: DataFrame, verify: Verify, found: DataFrame, component: DataFrame, tried: DataFrame, fits: Callable[[Column, Column], Column] | None = None, beside: int = BESIDE, most: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """Links and components after the members (key, node, size) of large groups have met those of other components that
     share a second large key, or where these groups are large as well a third, and so on; fits says of two sizes whether
-    their nodes can be links at all. What has no further key to be split by, or is large after DEPTH times, is settled
+    their nodes can be links at all. What has no further key to be split by, or is large after `most` times, is settled
     in rounds."""
     group = Window.partitionBy("key")
     meets = lambda o: (o["component"] != F.col("component")) & (F.lit(True) if fits is None else fits(o["size"], F.col("size")))
     left = None
-    for depth in range(DEPTH):
-        # Of the keys of a node, in order, each with the BESIDE after it.
+    for depth in range(most):
+        # Of the keys of a node, in order, each with those after it.
         own = several(large, component).groupBy("node", "component", "size").agg(F.sort_array(F.collect_set("key")).alias("keys"))
         if depth:
             own = written(own, "keys")
             alone = own.filter("size(keys) = 1").select(F.col("keys")[0].alias("key"), "node")
             left = alone if left is None else left.union(alone)
-        both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BESIDE), lambda y: F.xxhash64(x, y))))
+        both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, beside), lambda y: F.xxhash64(x, y))))
         next_ = own.filter("size(keys) > 1").select("node", "component", "size", F.explode(both).alias("key")).distinct()
         several_left = F.min("component").over(group) < F.max("component").over(group)
         before = F.collect_list(F.struct("node", "component", "size")).over(group.orderBy("node").rowsBetween(-WHOLE, -1))
