@@ -614,7 +614,7 @@ def test_near_copies_are_caught_behind_line_dedup(spark):
         own = [cases.prose(7000 + 10 * i + k, r.randint(8, 40), 600) for k in range(6)]
         words = "\n".join(own).split(" ")
         for at in r.sample(range(len(words)), max(2, len(words) // 25)):
-            words[at] = "changed" + words[at][:2]
+            words[at] = cases.prose(r.randint(1, 9999), 1)
         texts += ["\n".join(own), " ".join(words)]
     texts += [cases.prose(9000 + i, 60, 600) + "\n" + cases.prose(9500 + i, 60, 600) for i in range(40)]  # clean
     docs = cases.docs(spark, texts)
