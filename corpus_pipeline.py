@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm import language, lines, mixing, near, packing
 from tracewell.llm.common import written
 
+#: Documents that lose this share of their letters to line dedup are copies as a whole.
+COPIED = 0.5
+
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the fused evidence can't tell go."""
@@ -19,7 +22,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of like lines one occurrence stays. Documents that consist of copied lines go with them."""
-    return lines.without_fuzzy_lines(docs, copied=lines.SIMILARITY)
+    return lines.without_fuzzy_lines(docs, copied=COPIED)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

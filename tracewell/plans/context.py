@@ -24,7 +24,7 @@ LEAST_QUERY, MOST_HITS, MOST_SESSION = 2, 20, 256
 MODES, PROFILES = ("fast", "auto", "deep"), ("auto", "minimal", "compact", "standard", "diagnostic")
 SNIPPETS, HITS = {"compact": 120, "standard": 240}, {"compact": 3}
 CONTEXT_HITS, CONTEXT_EXPERIENCES = 4, 3
-NOT_READY = "Background memory maintenance has not published an index snapshot yet; do not infer an answer from unavailable history."
+NOT_READY = "no index has been published yet, so nothing can be said from history"
 SESSION_KEYS = ("session_id", "sessionId", "thread_id", "threadId", "conversation_id", "conversationId")
 SESSION_HOLDERS = ("session", "thread", "conversation", "context", "client")
 SESSION_DEPTH = 2
