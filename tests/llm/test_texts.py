@@ -606,7 +606,8 @@ def test_pipeline(spark, tmp_path):
 
 def test_near_copies_are_caught_behind_line_dedup(spark):
     """Copies of several lines, a few words changed: the line stage leaves pieces of them that no later stage could tell."""
-    import corpus_pipeline as pipeline
+    from tracewell.llm import lines
+    from tracewell.llm.common import written
 
     r = random.Random(3)
     texts = []
@@ -618,8 +619,8 @@ def test_near_copies_are_caught_behind_line_dedup(spark):
         texts += ["\n".join(own), " ".join(words)]
     texts += [cases.prose(9000 + i, 60, 600) + "\n" + cases.prose(9500 + i, 60, 600) for i in range(40)]  # clean
     docs = cases.docs(spark, texts)
-    kept = pipeline.drop_repeated_lines(spark, docs, "")
+    kept = lines.without_fuzzy_lines(docs, copied=0.5)
     assert kept.columns == docs.columns
-    left = {x["doc_id"] for x in pipeline.drop_near_copies(spark, pipeline.written(kept, "lines"), "").collect()}
+    left = {x["doc_id"] for x in near.one_of_each(written(kept, "lines")).collect()}
     assert sum(2 * i in left for i in range(60)) == 60 and sum(2 * i + 1 not in left for i in range(60)) >= 54
     assert all(120 + i in left for i in range(40))
