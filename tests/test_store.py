@@ -165,8 +165,8 @@ def transcript(folder, name, session, turns_, parent=None):
 def test_transcripts_reach_the_index_with_tools_and_without_copies(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    transcript(folder, "one", "first", ["measure the river", "it is deep", "and the lake", "it is shallow"])
-    transcript(folder, "two", "second", ["measure the river", "it is deep", "something new here", "yes, new"], parent="first")
+    transcript(folder, "one", "north", ["measure the river", "it is deep", "and the lake", "it is shallow"])
+    transcript(folder, "two", "south", ["measure the river", "it is deep", "something new here", "yes, new"], parent="north")
     lines.register(spark)
     found = index.settled(events.parsed(spark.read.format("bounded_lines").load(str(folder))), "events")
     sessions = events.sessions(found)
@@ -174,16 +174,16 @@ def test_transcripts_reach_the_index_with_tools_and_without_copies(spark, tmp_pa
     store.sync(events.as_lines(found, sessions), found, sessions)
     of = store.snapshot()
     asked = {r["user_message"]: r["session_id"] for r in of.exchanges.collect()}
-    assert asked["something new here"] == "second" and sorted(r["session_id"] for r in of.exchanges.filter("user_message = 'measure the river'").collect()) == ["first"]
+    assert asked["something new here"] == "south" and sorted(r["session_id"] for r in of.exchanges.filter("user_message = 'measure the river'").collect()) == ["north"]
     tools = of.nodes.filter(F.col("node_id").startswith("exchange:tool:")).collect()
     assert len(tools) == 2 and all(t["level"] == "exchange" and "needle_value_77" in t["text"] for t in tools)
-    assert {"/srv/first/depth-0001.csv"} <= {a for t in tools for a in t["anchors"]}
+    assert {"/srv/north/depth-0001.csv"} <= {a for t in tools for a in t["anchors"]}
     assert levels(of)["tool nodes"] == 2
     body = of.nodes.filter("level = 'session'").first()["text"]
     assert body.startswith("Project: river\nWorking directory: /work/river\nGit branch: main\n")
-    asked = spark.createDataFrame([("q", "where is /srv/second/depth-0001.csv", None, None, None, "diagnostic")], REQUEST)
+    asked = spark.createDataFrame([("q", "where is /srv/south/depth-0001.csv", None, None, None, "diagnostic")], REQUEST)
     got = context.answered(of, asked).first()
-    assert got["results"][0]["session_id"] == "second" and "/srv/second/depth-0001.csv" in got["results"][0]["matched_anchors"]
+    assert got["results"][0]["session_id"] == "south" and "/srv/south/depth-0001.csv" in got["results"][0]["matched_anchors"]
 
 
 def test_ties_of_dense_search_go_by_time_and_key(spark):
