@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -492,6 +495,14 @@ def test_names_without_titles_and_no_names():
         assert surrogates.found(text) == []
 
 
+@pytest.mark.parametrize("text, names", [("then Robin went home, Robin", []), ("Robin", []), ("Anna went, so Leon Karl did", ["Leon", "Karl"]), ("Mr. Robin went; Anna was", ["Robin"])])
+def test_a_known_first_name_without_a_family_name_is_passed(text, names):
+    """In a process of its own, as a search that stays in place never ends."""
+    code = f"from tracewell.llm import surrogates; print([{text!r}[a:b] for a, b, *_ in surrogates.named({text!r})])"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=30, check=True)
+    assert done.stdout.strip() == str(names)
+
+
 def test_a_full_format_ends_in_marks(spark):
     """All addresses of a private block, which map into themselves: attempts end."""
     texts = [f"from 192.168.{i >> 8}.{i & 255} now" for i in range(1 << 16)]

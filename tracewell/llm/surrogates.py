@@ -123,6 +123,7 @@ def named(text: str) -> list[tuple[int, int, str, str]]:
             while some < len(words) and proper(words[some]) and (some == 0 or words[0][0].lower() != words[0][0]):
                 some += 1
             if not some or (pattern is KNOWN and some < 2):
+                at += pattern is KNOWN  # which begins with its name
                 continue
             at = start + len(" ".join(words[:some]))
             title = m.groupdict().get("title")
