@@ -1,11 +1,14 @@
 """Golden behaviour of recall on a small corpus of invented conversations."""
 
 import sqlite3
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import lexical, turns
+from tracewell.operators import lexical, turns, vectors
 from tracewell.plans import index, recall
 
 TALKS = {
@@ -112,3 +115,42 @@ def test_chunks_cover_the_text(spark):
         body = "".join(chr(97 + i % 26) for i in range(n))
         got = [r["chunk"] for r in turns.chunks(spark.createDataFrame([(body,)], "text string")).orderBy("part").collect()]
         assert got[0] + "".join(c[800:] for c in got[1:]) == body and all(len(c) <= 12_000 for c in got)
+
+
+def peak_of(step, batch):
+    """(rows, MB of Python objects and arrays at most) of a function on batches."""
+    tracemalloc.start()
+    rows = sum(len(out) for out in step(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return rows, peak
+
+
+def test_a_batch_of_nodes_or_queries_takes_little_memory(spark, monkeypatch):
+    """Features come portion by portion, however many rows a batch has."""
+    steps = []
+    for module in (index, recall):
+        monkeypatch.setattr(module, "map_arrow", lambda df, step, schema: steps.append(step))
+    names = [f.split(" ")[0] for f in index.NODE.split(", ")]
+    index._features(spark.createDataFrame([], index.NODE))
+    recall.understood(spark.createDataFrame([], "query_id string, query string, current_session_id string"))
+    said = [" ".join(f"word{(i * 7919 + k * 104729) % 5003}" for k in range(60)) for i in range(800)]
+    node = {"level": ["exchange"] * 800, "text": [f"User: {t}" for t in said], "user": said}
+    asked = {"query_id": [str(i) for i in range(800)], "query": said}
+    nodes = pa.RecordBatch.from_pydict({n: pa.array(node.get(n, [None] * 800), pa.int64() if n.startswith("line_") else pa.string()) for n in names})
+    queries = pa.RecordBatch.from_pydict({n: pa.array(asked.get(n, [None] * 800), pa.string()) for n in ("query_id", "query", "current_session_id")})
+    for step, batch, most in ((steps[0], nodes, 60), (steps[1], queries, 60)):
+        rows, peak = peak_of(step, batch)
+        assert rows == 800 and peak < most
+
+
+def test_dense_search_in_parts_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PRODUCTS", 64)
+    monkeypatch.setattr(vectors, "PORTION", 256)
+    r = np.random.default_rng(3)
+    held, asked = r.normal(size=(40, 8)).astype(np.float32), r.normal(size=(9, 8))
+    nodes = spark.createDataFrame([(f"n{i:02d}", "t", x.tolist()) for i, x in enumerate(held)], "node_id string, timestamp string, embedding array<float>").repartition(2)
+    queries = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(asked)], "query_id string, vector array<double>")
+    got = {(x["query_id"], x["rank"]): x["node_id"] for x in vectors.dense_top(nodes, queries, 5, -9.0).collect()}
+    score = asked @ held.astype(float).T
+    assert got == {(f"q{i}", n + 1): f"n{k:02d}" for i in range(9) for n, k in enumerate(np.argsort(-score[i])[:5].tolist())}
