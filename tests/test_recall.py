@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import lexical, turns, vectors
-from tracewell.plans import index, recall
+from tracewell.plans import catalogue, index, recall
 
 TALKS = {
     "alpha": [("user", "Which tokenizer checkpoint did we freeze for the harbour project?"), ("assistant", "We froze commit 9f8e7d6c5b4a for the harbour tokenizer."), ("system", "summary of the harbour work"), ("user", "Where are the logs of job-4711?"), ("assistant", "They are in /srv/logs/job-4711/run.log on the build host."), ("user", "What is the latest learning rate?"), ("assistant", "The learning rate is three percent.")],
@@ -154,3 +154,9 @@ def test_dense_search_in_parts_is_brute_force(spark, monkeypatch):
     got = {(x["query_id"], x["rank"]): x["node_id"] for x in vectors.dense_top(nodes, queries, 5, -9.0).collect()}
     score = asked @ held.astype(float).T
     assert got == {(f"q{i}", n + 1): f"n{k:02d}" for i in range(9) for n, k in enumerate(np.argsort(-score[i])[:5].tolist())}
+
+
+def test_every_hundredth_session_asks(spark):
+    rows = [(s, f"question of {s}", 1) for s in ("0", "7", "100", "250", "300", "x")]
+    held = index.Index(None, spark.createDataFrame(rows, "session_id string, user_message string, line_start long"), None)
+    assert {r["query_id"] for r in catalogue.last_questions(held).collect()} == {"0", "100", "300"}
