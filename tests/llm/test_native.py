@@ -199,6 +199,37 @@ def test_a_group_of_unrelated_and_like_nodes_is_settled(spark):
     assert sum(asked) <= 400 * 399 // 2
 
 
+def test_nodes_with_one_large_group_in_common_meet(spark, monkeypatch):
+    """Every node has one key of 40 in common with its partner, and else keys of large groups of its own side."""
+    monkeypatch.setattr(groups, "PART", 7, raising=False)
+    rows = [(1, i) for i in range(40)] + [(2 + i % 2, i) for i in range(40)]
+    rows += [(10 + k, i) for k in range(20) for i in range(40) if (i < 20) == (k < 10)]
+    like = {(i, 39 - i) for i in range(20)}
+    table = spark.createDataFrame(list(like), "a long, b long")
+    found, component = groups.linked(spark.createDataFrame(rows, "key long, node long"), lambda pairs: pairs.join(table, ["a", "b"], "left_semi"))
+    assert {(x["a"], x["b"]) for x in found.collect()} == like
+    assert {x["node"]: x["component"] for x in component.collect()} == {n: a for a, b in like for n in (a, b)}
+
+
+def test_counts_bound_edits(spark):
+    """No pair that is similar enough is left out."""
+    r = random.Random(4)
+    every = [cases.prose(50 + i, r.randint(3, 30)) for i in range(40)] + ["", "x", "日本語 の 行", "é" * 300]
+    for t in list(every):
+        other = list(t)
+        for _ in range(r.randint(0, max(1, len(t) // 5))):
+            at = r.randrange(len(other) + 1)
+            other[at : at + r.randint(0, 1)] = r.choice(["", "q", " ", "é"])
+        every.append("".join(other))
+    table = spark.createDataFrame([(1, i, t) for i, t in enumerate(every)], "key long, k long, norm string")
+    members = table.select("key", F.col("k").alias("node"), F.col("k").alias("component"), F.lit(len(every)).alias("n"))
+    bounds = [(0, lines.CLASSES[0], 2), (lines.CLASSES[0], sum(lines.CLASSES), 4)]
+    got = {(x["a"], x["b"]) for x in groups.possible(members, lines.counted(table, members), bounds, lines.SIMILARITY, False).collect()}
+    pairs = [(a, b) for b in range(len(every)) for a in range(b)]
+    want = {(a, b) for a, b in pairs if lines.distance(every[a], every[b], 10**6) <= int((1 - lines.SIMILARITY) * max(len(every[a]), len(every[b])) + 1e-6)}
+    assert want <= got and len(got) < len(pairs) / 4
+
+
 def test_lines_are_verified_as_brute_force_does(spark):
     """Insertions, deletions, changes and moves of words, unrelated lines, and lines without blanks."""
     r = random.Random(8)

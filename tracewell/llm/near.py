@@ -7,8 +7,8 @@ word pairs, as five-word runs rarely survive an edit there.
 
 Equal word sequences are first collapsed to one class. In each group of classes with the same key a class meets the
 group's least and the NEIGHBOURS before it when the group is sorted by the next two k-mers of the same order. In groups
-of up to WHOLE and one all pairs are candidates. Of larger ones only those with several components go on (`groups.divided`): there
-classes of different components meet if they share a second such key, all of them, however many these are.
+of up to WHOLE and one all pairs are candidates. Of larger ones only those with several components go on (`groups.all_met`): there
+all classes of different components meet, but those whose counts of words show that they can't be similar enough.
 Candidates whose word counts fit are verified by banded alignment of the whole word sequences (similarity 1 - edits /
 longer length, at least SIMILARITY).
 
@@ -27,11 +27,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.shipping import map_arrow
+from tracewell.functions.shipping import map_arrow, portions
 
 from .common import bucketed, written
 from .components import components
-from .groups import divided
+from .groups import all_met
 from .wordhash import BASE, hashed, mixed, numbers, run_hashes
 
 K, TABLES, SIMILARITY = 5, 32, 0.8
@@ -40,8 +40,8 @@ SHORT, SHORT_K, SHORT_TABLES = 50, 2, 16
 LONG = int(SHORT * SIMILARITY)
 #: Classes of a group that are all compared, and how many a class meets before it in a group's order.
 WHOLE, NEIGHBOURS = 64, 2
-#: Of the keys of large groups that a class has, how many each goes with, and how often groups are split.
-BESIDE, DEPTH = 8, 2
+#: Words are counted in so many classes; an edit changes two of these counts by one at most.
+COUNTS = 256
 NO_ID = -(1 << 63)
 #: Words that an alignment compares at a time.
 RUN = 16
@@ -213,6 +213,19 @@ def needed(seen: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame
     return both.dropDuplicates(["node", "high", "low"]).select("node", "words")
 
 
+def counted(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, size, sketch) of the texts (node, words) of members: how many of their words fall into each of COUNTS
+    classes, 255 at most."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 8 << 20):
+            words = [np.frombuffer(w, "<u2") for w in batch.column(1).to_pylist()]
+            marks = [np.minimum(np.bincount(w % COUNTS, minlength=COUNTS), 255).astype(np.uint8).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int32()), pa.array(marks, pa.binary())], names=["node", "size", "sketch"])
+
+    return map_arrow(texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "words"), step, "node long, size int, sketch binary")
+
+
 def links(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From the written sketches: classes (high, low, node, n, copies), verified links (a, b) of nodes, and components
     (node, component) of the linked ones."""
@@ -244,15 +257,15 @@ def links(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = bucketed(needed(seen, classes, members), "node")
     found = written(verified(tried, texts), "links")
     component = written(components(found), "components")
-    alike = lambda x, y: F.least(x, y) >= F.lit(SIMILARITY) * F.greatest(x, y) - 1e-9
-    found, component = divided(left.withColumnRenamed("n", "size"), lambda p: verified(p, texts).select("a", "b"), found.select("a", "b"), component, tried, alike, BESIDE, DEPTH)
+    left = left.select("key", "node").distinct()
+    found, component = all_met(left, lambda p: verified(p, texts).select("a", "b"), found.select("a", "b"), component, tried, counted(texts, left), [(0, COUNTS, 2)], SIMILARITY)
     return classes, found, component
 
 
 def classified(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, text_class, class_id, links, kept): one row a row of docs. class_id is the least id of all
     documents that a chain of verified links joins, text_class that of those with the same words; links counts the
-    verified links of the text class."""
+    links of the text class that were verified: two texts that others have joined before need not have been compared."""
     seen = written(sketches(docs, id_col, text), "sketches")
     classes, found, component = links(seen)
     degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
