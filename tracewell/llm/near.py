@@ -6,9 +6,9 @@ probability that falls with their edit distance, order of passages included. Tex
 word pairs, as five-word runs rarely survive an edit there.
 
 Equal word sequences are first collapsed to one class. In each group of classes with the same key a class meets the
-group's least and the NEIGHBOURS before it when the group is sorted by the next two k-mers of the same order. In groups
-of up to WHOLE and one all pairs are candidates. Of larger ones only those with several components go on (`groups.all_met`): there
-all classes of different components meet, but those whose counts of words show that they can't be similar enough.
+group's least; in groups of up to WHOLE and one all pairs are candidates. Of larger ones only those with several
+components go on (`groups.all_met`): there all classes of different components meet, but those whose counts of words
+show that they can't be similar enough.
 Candidates whose word counts fit are verified by banded alignment of the whole word sequences (similarity 1 - edits /
 longer length, at least SIMILARITY).
 
@@ -38,8 +38,8 @@ K, TABLES, SIMILARITY = 5, 32, 0.8
 SHORT, SHORT_K, SHORT_TABLES = 50, 2, 16
 #: From here on five-word runs are keyed; texts of SHORT words still meet those of SIMILARITY times as many.
 LONG = int(SHORT * SIMILARITY)
-#: Classes of a group that are all compared, and how many a class meets before it in a group's order.
-WHOLE, NEIGHBOURS = 64, 2
+#: Classes before it in a group's order that a class meets, where these are all.
+WHOLE = 64
 #: Words are counted in so many classes; an edit changes two of these counts by one at most.
 COUNTS = 256
 NO_ID = -(1 << 63)
@@ -47,12 +47,12 @@ NO_ID = -(1 << 63)
 RUN = 16
 TOP = np.uint64((1 << 64) - 1)
 
-SKETCH = "doc_id long, given long, high long, low long, n int, key array<long>, ext array<int>, words binary"
-SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("given", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("n", pa.int32()), ("key", pa.list_(pa.int64())), ("ext", pa.list_(pa.int32())), ("words", pa.binary())])
+SKETCH = "doc_id long, given long, high long, low long, n int, key array<long>, words binary"
+SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("given", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("n", pa.int32()), ("key", pa.list_(pa.int64())), ("words", pa.binary())])
 
 
-def order_minhash(words: np.ndarray, begin: np.ndarray, k: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, continuations) of each text, a column a table; every text must have k words at least."""
+def order_minhash(words: np.ndarray, begin: np.ndarray, k: int, tables: int, seed: int) -> np.ndarray:
+    """The keys of each text, a column a table; every text must have k words at least."""
     count = np.diff(begin) - k + 1
     first = np.concatenate([[0], np.cumsum(count)])
     owner = np.repeat(np.arange(len(count)), count)
@@ -67,16 +67,15 @@ def order_minhash(words: np.ndarray, begin: np.ndarray, k: int, tables: int, see
         label = np.empty(len(order), np.uint64)
         label[order] = nth
         mers = np.where(label > 0, mixed(mers + label * np.uint64(0x9E3779B97F4A7C15)), mers)
-    keys, exts = np.empty((len(count), tables), np.uint64), np.empty((len(count), tables), np.uint32)
+    keys = np.empty((len(count), tables), np.uint64)
     turns, flips = numbers(seed, tables) | np.uint64(1), numbers(seed + 1, tables)
     for t in range(tables):
         value = (mers ^ flips[t]) * turns[t]
-        least, where = [], []
-        for _ in range(4):
+        where = []
+        for _ in range(2):
             low = np.minimum.reduceat(value, first[:-1])
             at = np.flatnonzero(value == low[owner])
             at = at[np.concatenate([[True], np.diff(owner[at]) != 0])]  # one a text
-            least.append(low)
             where.append(at)
             value[at] = TOP
         a, b = mers[where[0]], mers[where[1]]
@@ -84,8 +83,7 @@ def order_minhash(words: np.ndarray, begin: np.ndarray, k: int, tables: int, see
         swap = where[1] < where[0]
         one, two = np.where(swap, b, a), np.where(swap, a, b)
         keys[:, t] = mixed(np.where(none, a, one) * np.uint64(3) + np.where(none, np.uint64(0), mixed(two)) + np.uint64(seed * 1000 + t))
-        exts[:, t] = (least[2] >> np.uint64(48) << np.uint64(16)) | (least[3] >> np.uint64(48))
-    return keys, exts
+    return keys
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,18 +103,17 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
         parts = [words[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
         digest = [hashlib.blake2b(p.tobytes(), digest_size=16).digest() for p in parts]
         high, low = (pa.array(np.frombuffer(b"".join(d[i : i + 8] for d in digest), "<i8")) for i in (0, 8))
-        found: list[list] = [[[], []] for _ in ids]
+        found: list[list[int]] = [[] for _ in ids]
         for k, tables, chosen in ((K, TABLES, count >= max(LONG, K)), (SHORT_K, SHORT_TABLES, (count < SHORT) & (count >= SHORT_K))):
             use = np.flatnonzero(chosen)
             if not len(use):
                 continue
             own = np.concatenate([[0], np.cumsum(count[use])])
-            keys, exts = order_minhash(np.concatenate([parts[i] for i in use]), own, k, tables, 100 + k)
-            for i, x, y in zip(use.tolist(), keys.view(np.int64).tolist(), exts.view(np.int32).tolist(), strict=True):
-                found[i][0] += x
-                found[i][1] += y
+            keys = order_minhash(np.concatenate([parts[i] for i in use]), own, k, tables, 100 + k)
+            for i, x in zip(use.tolist(), keys.view(np.int64).tolist(), strict=True):
+                found[i] += x
         small = [(p >> np.uint64(48)).astype("<u2").tobytes() for p in parts]
-        return pa.RecordBatch.from_arrays([pa.array([NO_ID if d is None else d for d in ids], pa.int64()), pa.array(ids, pa.int64()), high, low, pa.array(count.astype(np.int32)), *(pa.array([f[j] for f in found], SKETCH_ARROW.types[5 + j]) for j in range(2)), pa.array(small, pa.binary())], schema=SKETCH_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array([NO_ID if d is None else d for d in ids], pa.int64()), pa.array(ids, pa.int64()), high, low, pa.array(count.astype(np.int32)), pa.array(found, SKETCH_ARROW.field("key").type), pa.array(small, pa.binary())], schema=SKETCH_ARROW)
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), step, SKETCH)
 
@@ -229,10 +226,10 @@ def counted(texts: DataFrame, members: DataFrame) -> DataFrame:
 def links(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From the written sketches: classes (high, low, node, n, copies), verified links (a, b) of nodes, and components
     (node, component) of the linked ones."""
-    classes = written(seen.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("key").alias("key"), F.first("ext").alias("ext")), "classes")
+    classes = written(seen.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("key").alias("key")), "classes")
     # Dealt by key once: counting the groups and finding their members both read the same exchange.
     parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = classes.select("node", "n", F.inline(F.arrays_zip("key", "ext"))).repartition(parts, "key")
+    keyed = classes.select("node", "n", F.explode("key").alias("key")).repartition(parts, "key")
     groups = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = written(keyed.join(groups.select("key", "hub"), "key"), "members")
     sizes = classes.select("node", F.col("n").alias("n"))
@@ -244,14 +241,11 @@ def links(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     hub_sizes = sizes.select(F.col("node").alias("hub"), F.col("n").alias("other_n"))
     by_hub = pairs(members.select("hub", "node", "n").distinct().join(hub_sizes.groupBy("hub").agg(F.max("other_n").alias("other_n")), "hub").filter(fits))
-    order = Window.partitionBy("key").orderBy("ext", "n", "node")
-    earlier = F.collect_list(F.struct(F.col("node").alias("hub"), F.col("n").alias("other_n"))).over(order.rowsBetween(-NEIGHBOURS, -1))
-    beside = members.select("node", "n", earlier.alias("earlier")).select("node", "n", F.inline("earlier")).filter(fits)
     group = Window.partitionBy("key")
     sized = members.select("key", "node", "n", F.count(F.lit(1)).over(group).alias("members"), F.collect_list(F.struct("node", "n")).over(group.orderBy("node", "n").rowsBetween(-WHOLE, -1)).alias("before"))
     small = F.col("members") <= WHOLE + 1
     whole = sized.filter(small).select("node", "n", F.explode("before").alias("o")).select("node", "n", F.col("o.node").alias("hub"), F.col("o.n").alias("other_n"))
-    tried = by_hub.union(pairs(beside)).union(pairs(whole.filter(fits)))
+    tried = by_hub.union(pairs(whole.filter(fits)))
     left = written(members.select("key", "node", "n", F.count(F.lit(1)).over(group).alias("members")).filter(~small).drop("members"), "left")
     tried = written(tried.distinct(), "pairs")
     texts = bucketed(needed(seen, classes, members), "node")
