@@ -230,6 +230,15 @@ def test_counts_bound_edits(spark):
     assert want <= got and len(got) < len(pairs) / 4
 
 
+def test_a_frequent_word_makes_no_large_groups(spark):
+    """Unrelated lines, half of whose words are the same two or three."""
+    r = random.Random(6)
+    every = [" ".join(w for x in cases.prose(7000 + i, 60).split(" ") for w in (x, *r.choice([("the",), ("the", "of"), ("the", "the", "and")]))) for i in range(300)]
+    table = spark.createDataFrame(list(enumerate(every)), "k long, norm string")
+    groups_of = lines.block_keys(table).distinct().groupBy("key").count()
+    assert groups_of.agg(F.max("count")).first()[0] <= 10
+
+
 def test_lines_are_verified_as_brute_force_does(spark):
     """Insertions, deletions, changes and moves of words, unrelated lines, and lines without blanks."""
     r = random.Random(8)
