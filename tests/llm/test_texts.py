@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracewell.llm import components, fingerprints, language, media, near, packing, substrings, surrogates, wordhash
+from tracewell.llm import components, fingerprints, groups, language, media, near, packing, substrings, surrogates, wordhash
 
 from . import cases
 
@@ -193,6 +193,35 @@ def test_many_near_copies_are_one_class(spark):
     assert all(r["kept"] for r in got if r["doc_id"] >= 150)
 
 
+def test_pairs_of_many_near_copies_stay_linear(spark, monkeypatch):
+    """One class of 300 texts, all of which are near the first."""
+    base = cases.prose(8, 120)
+    texts = [base] + [cases.edited(base, 0.05, i) for i in range(299)]
+    asked, plain = [], near.verified
+
+    def verified(pairs, words, least=near.SIMILARITY):
+        asked.append(pairs.count())
+        return plain(pairs, words, least)
+
+    monkeypatch.setattr(near, "verified", verified)
+    got = near.classified(cases.docs(spark, texts)).collect()
+    assert {r["class_id"] for r in got} == {0}
+    assert sum(asked) <= 2 * len(texts)
+
+
+def test_counts_of_words_bound_edits(spark):
+    """Texts of 800 words with two thirds in common: such pairs go before they are rows, no similar one does."""
+    passage = cases.prose(31, 540)
+    texts = [" ".join([passage, *(f"w{i}x{j}" for j in range(260))]) for i in range(40)]
+    texts += [cases.edited(x, 0.1, i) for i, x in enumerate(texts[:10])]
+    seen = near.sketches(cases.docs(spark, texts)).select(F.col("doc_id").alias("node"), "n", "words").cache()
+    members = seen.select(F.lit(1).alias("key"), "node", F.col("node").alias("component"), F.lit(len(texts)).alias("n"))
+    words = {x["node"]: x["words"] for x in seen.collect()}
+    got = {(x["a"], x["b"]) for x in groups.possible(members, near.counted(seen, members), near.BOUNDS, near.SIMILARITY, False).collect()}
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if near.similar(words[a], words[b])}
+    assert want <= got and len(want) >= 10 and len(got) < len(texts) * (len(texts) - 1) / 4
+
+
 def test_near_copies_among_texts_that_share_a_passage(spark):
     """Unrelated texts with one long passage fill the groups; copies of some of them are found all the same."""
     passage = cases.prose(77, 120)

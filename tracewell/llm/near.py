@@ -5,10 +5,12 @@ hash orders the two least labelled k-mers, kept in their order in the text, are
 probability that falls with their edit distance, order of passages included. Texts under SHORT words are also keyed by
 word pairs, as five-word runs rarely survive an edit there.
 
-Equal word sequences are first collapsed to one class. In each group of classes with the same key a class meets the
-group's least; in groups of up to WHOLE and one all pairs are candidates. Of larger ones only those with several
-components go on (`groups.all_met`): there all classes of different components meet, but those whose counts of words
-show that they can't be similar enough.
+Equal word sequences are first collapsed to one class. A class first meets, of the least classes of its groups, the one
+that it shares most keys with. Then in each group of classes with the same key a class meets the group's least, and in
+groups of up to WHOLE and one all pairs are candidates; only texts of one component of more than WHOLE and one, which
+they can't change, are not compared again. Of larger groups only those with several components go on
+(`groups.all_met`): there all classes of different components meet, but those whose counts of words show that they can't
+be similar enough.
 Candidates whose word counts fit are verified by banded alignment of the whole word sequences (similarity 1 - edits /
 longer length, at least SIMILARITY).
 
@@ -31,7 +33,7 @@ from tracewell.functions.shipping import map_arrow, portions
 
 from .common import bucketed, written
 from .components import components
-from .groups import all_met
+from .groups import all_met, more_links
 from .wordhash import BASE, hashed, mixed, numbers, run_hashes
 
 K, TABLES, SIMILARITY = 5, 32, 0.8
@@ -40,8 +42,9 @@ SHORT, SHORT_K, SHORT_TABLES = 50, 2, 16
 LONG = int(SHORT * SIMILARITY)
 #: Classes before it in a group's order that a class meets, where these are all.
 WHOLE = 64
-#: Words are counted in so many classes; an edit changes two of these counts by one at most.
-COUNTS = 256
+#: Words are counted in so many classes, and in so many finer ones; an edit changes two of these counts by one at most.
+COUNTS = (256, 1024)
+BOUNDS = [(0, COUNTS[0], 2), (COUNTS[0], sum(COUNTS), 2)]
 NO_ID = -(1 << 63)
 #: Words that an alignment compares at a time.
 RUN = 16
@@ -211,14 +214,16 @@ def needed(seen: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame
 
 
 def counted(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, size, sketch) of the texts (node, words) of members: how many of their words fall into each of COUNTS
-    classes, 255 at most."""
+    """(node, size, sketch) of the texts (node, words) of members: how many of their words fall into each of COUNTS[0]
+    and of COUNTS[1] classes, 255 at most."""
+
+    def mark(words: np.ndarray) -> bytes:
+        return b"".join(np.minimum(np.bincount(words % many, minlength=many), 255).astype(np.uint8).tobytes() for many in COUNTS)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 8 << 20):
             words = [np.frombuffer(w, "<u2") for w in batch.column(1).to_pylist()]
-            marks = [np.minimum(np.bincount(w % COUNTS, minlength=COUNTS), 255).astype(np.uint8).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int32()), pa.array(marks, pa.binary())], names=["node", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int32()), pa.array([mark(w) for w in words], pa.binary())], names=["node", "size", "sketch"])
 
     return map_arrow(texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "words"), step, "node long, size int, sketch binary")
 
@@ -239,20 +244,29 @@ def links(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(a, b), a < b: of members with hub and hub_n."""
         return members.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
-    hub_sizes = sizes.select(F.col("node").alias("hub"), F.col("n").alias("other_n"))
-    by_hub = pairs(members.select("hub", "node", "n").distinct().join(hub_sizes.groupBy("hub").agg(F.max("other_n").alias("other_n")), "hub").filter(fits))
+    hub_sizes = sizes.groupBy(F.col("node").alias("hub")).agg(F.max("n").alias("other_n"))
+    met = written(members.groupBy("hub", "node", "n").agg(F.count(F.lit(1)).alias("keys")).join(hub_sizes, "hub").filter(fits).filter("node <> hub"), "met")
+    texts = bucketed(needed(seen, classes, members), "node")
+    likely = F.max_by("hub", F.struct("keys", -F.col("hub"))).alias("hub")
+    first = written(pairs(met.groupBy("node").agg(likely)).distinct(), "pairs")
+    found = written(verified(first, texts), "links")
+    component = written(components(found), "components")
+    # Texts of one large component don't meet again; they are left out before pairs are rows.
+    large = component.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WHOLE + 1).join(component, "component").select("node", "component")
+    apart = lambda one, two: F.coalesce(one != two, F.lit(True))
+    hubs = large.select(F.col("node").alias("hub"), F.col("component").alias("other"))
+    by_hub = pairs(met.join(large, "node", "left").join(hubs, "hub", "left").filter(apart(F.col("component"), F.col("other"))))
     group = Window.partitionBy("key")
-    sized = members.select("key", "node", "n", F.count(F.lit(1)).over(group).alias("members"), F.collect_list(F.struct("node", "n")).over(group.orderBy("node", "n").rowsBetween(-WHOLE, -1)).alias("before"))
+    here = F.struct("node", "n", "component")
+    sized = members.join(large, "node", "left").select("key", "node", "n", "component", F.count(F.lit(1)).over(group).alias("members"), F.collect_list(here).over(group.orderBy("node", "n").rowsBetween(-WHOLE, -1)).alias("before"))
     small = F.col("members") <= WHOLE + 1
-    whole = sized.filter(small).select("node", "n", F.explode("before").alias("o")).select("node", "n", F.col("o.node").alias("hub"), F.col("o.n").alias("other_n"))
-    tried = by_hub.union(pairs(whole.filter(fits)))
+    others = F.filter("before", lambda o: apart(o["component"], F.col("component")))
+    whole = sized.filter(small).select("node", "n", F.explode(others).alias("o")).select("node", "n", F.col("o.node").alias("hub"), F.col("o.n").alias("other_n"))
     left = written(members.select("key", "node", "n", F.count(F.lit(1)).over(group).alias("members")).filter(~small).drop("members"), "left")
-    tried = written(tried.distinct(), "pairs")
-    texts = bucketed(needed(seen, classes, members), "node")
-    found = written(verified(tried, texts), "links")
-    component = written(components(found), "components")
+    tried = by_hub.union(pairs(whole.filter(fits)))
+    found, component, tried = more_links(tried.distinct(), lambda p: verified(p, texts), found, component, first)
     left = left.select("key", "node").distinct()
-    found, component = all_met(left, lambda p: verified(p, texts).select("a", "b"), found.select("a", "b"), component, tried, counted(texts, left), [(0, COUNTS, 2)], SIMILARITY)
+    found, component = all_met(left, lambda p: verified(p, texts).select("a", "b"), found.select("a", "b"), component, tried, counted(texts, left), BOUNDS, SIMILARITY)
     return classes, found, component
 
 
