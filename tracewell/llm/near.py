@@ -247,7 +247,7 @@ def links(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hub_sizes = sizes.groupBy(F.col("node").alias("hub")).agg(F.max("n").alias("other_n"))
     met = written(members.groupBy("hub", "node", "n").agg(F.count(F.lit(1)).alias("keys")).join(hub_sizes, "hub").filter(fits).filter("node <> hub"), "met")
     texts = bucketed(needed(seen, classes, members), "node")
-    likely = F.max_by("hub", F.struct("keys", -F.col("hub"))).alias("hub")
+    likely = F.max_by("hub", F.struct("keys", F.bitwise_not(F.col("hub")))).alias("hub")
     first = written(pairs(met.groupBy("node").agg(likely)).distinct(), "pairs")
     found = written(verified(first, texts), "links")
     component = written(components(found), "components")
