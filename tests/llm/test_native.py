@@ -211,6 +211,16 @@ def test_nodes_with_one_large_group_in_common_meet(spark, monkeypatch):
     assert {x["node"]: x["component"] for x in component.collect()} == {n: a for a, b in like for n in (a, b)}
 
 
+def test_nodes_with_many_groups_in_common_are_one_pair(spark, monkeypatch):
+    """Every pair is a row once, in whichever parts and however many groups two nodes meet."""
+    monkeypatch.setattr(groups, "PART", 7)
+    rows = [(k, i, i // 3, 30) for k in (5, -2, 9) for i in range(30)] + [(-7, i, i // 3, 8) for i in range(8)]
+    members = spark.createDataFrame(rows, "key long, node long, component long, n long")
+    sketches = members.select("node", F.lit(0).alias("size"), F.lit(b"").alias("sketch")).distinct()
+    got = [(x["a"], x["b"]) for x in groups.possible(members, sketches, [], 0.0, False).collect()]
+    assert sorted(got) == [(a, b) for a in range(30) for b in range(a + 1, 30) if a // 3 != b // 3]
+
+
 def test_counts_bound_edits(spark):
     """No pair that is similar enough is left out."""
     r = random.Random(4)
