@@ -4,11 +4,12 @@ import collections
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import common, groups, lines, mixing, sharding
+from tracewell.llm import common, groups, lines, mixing, near, sharding
 
 from . import cases
 
@@ -300,6 +301,17 @@ def test_many_sources_of_one_row_are_spread(spark):
     assert all(sorted(x["slot"] for x in out if x["shard"] == s) == list(range(100)) for s in range(40))
 
 
+@pytest.mark.parametrize("op", [lines.judged, lines.without_fuzzy_lines, near.classified])
+def test_tables_of_steps_are_removed(spark, op):
+    """Only the operator's own table stays, in the shared folder and of the catalogue's tables."""
+    docs = cases.docs(spark, [f"{cases.prose(i % 40, 30)}\n{cases.edited(cases.prose(i % 7, 30), 0.05, i)}" for i in range(60)])
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before, names = set(folder.glob("*")), {t.name for t in spark.catalog.listTables()}
+    out = op(docs)
+    assert out.count() == 60
+    assert len(set(folder.glob("*")) - before) == 1 and {t.name for t in spark.catalog.listTables()} <= names
+
+
 def test_lines_of_awkward_and_empty_tables(spark):
     df = cases.awkward(spark)
     out = lines.without_fuzzy_lines(df)

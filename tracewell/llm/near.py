@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.shipping import map_arrow, portions
 
-from .common import bucketed, written
+from .common import bucketed, settled_alone, written
 from .components import components
 from .groups import all_met, more_links
 from .wordhash import BASE, hashed, mixed, numbers, run_hashes
@@ -273,7 +273,12 @@ def links(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def classified(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, text_class, class_id, links, kept): one row a row of docs. class_id is the least id of all
     documents that a chain of verified links joins, text_class that of those with the same words; links counts the
-    links of the text class that were verified: two texts that others have joined before need not have been compared."""
+    links of the text class that were verified: two texts that others have joined before need not have been compared.
+    It is written."""
+    return settled_alone(docs.sparkSession, lambda: _classified(docs, id_col, text), "classified")
+
+
+def _classified(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     seen = written(sketches(docs, id_col, text), "sketches")
     classes, found, component = links(seen)
     degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
