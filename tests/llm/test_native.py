@@ -328,3 +328,50 @@ def test_running_sums_match_a_plain_loop(spark):
     for i, g, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
         assert got[i] == sums[g]
         sums[g] += v
+
+
+def test_lines_run_no_python_on_executors(spark, monkeypatch):
+    """Hashing, meeting in groups of more than a few and verifying are DataFrame functions."""
+
+    def refused(*_args, **_named):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(0)), name, refused)
+    base = cases.prose(5, 30).split(" ")
+    texts = [" ".join([*base[: i % 30], f"w{i}", *base[i % 30 + 1 :]]) + "\n" + cases.prose(9000 + i, 12) for i in range(40)]
+    docs = cases.docs(spark, texts)
+    assert sum(r["n_removed"] for r in lines.judged(docs).collect()) >= 38
+    assert lines.without_fuzzy_lines(docs).count() == 40
+
+
+def test_marks_leave_out_no_like_lines(spark, monkeypatch):
+    """Every pair that is similar enough comes once, in whichever parts and groups its lines meet."""
+    monkeypatch.setattr(groups, "PART", 7)
+    r = random.Random(14)
+    every = [cases.prose(50 + i, r.randint(3, 60)) for i in range(30)] + ["x", "日本語 の 行", "é" * 300]
+    for t in list(every):
+        other = list(t)
+        for _ in range(r.randint(0, len(t) // 5)):
+            at = r.randrange(len(other) + 1)
+            other[at : at + r.randint(0, 1)] = r.choice(["", "q", " ", "é"])
+        every.append("".join(other))
+    n = len(every)
+    table = spark.createDataFrame(list(enumerate(every)), "k long, norm string")
+    members = spark.createDataFrame([(key, i, i, n) for i in range(n) for key in (1, -3)], "key long, node long, component long, n long")
+    got = [(x["a"], x["b"]) for x in groups.joined(members, lines.odd_runs(table, members), lines.MARKS, lines.EDIT, lines.SIMILARITY).collect()]
+    pairs = [(a, b) for b in range(n) for a in range(b)]
+    want = {(a, b) for a, b in pairs if lines.distance(every[a], every[b], 10**6) <= int((1 - lines.SIMILARITY) * max(len(every[a]), len(every[b])) + 1e-6)}
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 20 and len(got) < len(pairs) / 4
+
+
+def test_an_alignment_is_no_less_than_the_distance(spark):
+    """Passages that one of two lines lacks are skipped, and the bound is never below the edit distance."""
+    words = [[f"{w}{j}" if j % 3 else w for j, w in enumerate(cases.prose(400 + i, 80).split(" "))] for i in range(12)]
+    rows = [(w, w[:20] + w[30 + i :]) for i, w in enumerate(words)] + [(w[:10] + w[20:], w) for w in words] + [(w[:40], words[i - 1][:40]) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "one array<string>, two array<string>")
+    for x in df.select("one", "two", lines.aligned(F.col("one"), F.col("two")).alias("cost")).collect():
+        one, two = " ".join(x["one"]), " ".join(x["two"])
+        assert x["cost"] >= lines.distance(one, two, 10**6)
+        if len(x["one"]) != len(x["two"]):
+            assert x["cost"] <= abs(len(one) - len(two)) + 40
